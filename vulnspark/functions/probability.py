@@ -1,4 +1,4 @@
-"""Class-vector expressions, unrolled over the seven classes so they stay in codegen."""
+"""Expressions over vectors of the seven classes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnspark.functions.text import let
 from vulnspark.taxonomy import LABELS, NUM_LABELS
 
 
@@ -21,20 +22,30 @@ def argmax(vector: Column) -> Column:
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
-    """Class probabilities at a temperature (floored at 1e-6)."""
+    """Class probabilities at a temperature (floored at 1e-6).
+
+    Kept a small expression: filters on the outcome are pushed below it and repeat it.
+    """
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    scaled = [x / F.greatest(t, F.lit(1e-6)) for x in _cells(logits)]
-    top = F.greatest(*scaled)
-    weights = [F.exp(x - top) for x in scaled]
-    return F.array(*[w / reduce(add, weights) for w in weights])
+    floor = F.greatest(t, F.lit(1e-6))
+
+    def weights(scaled: Column) -> Column:
+        return let(F.array_max(scaled), lambda top: F.transform(scaled, lambda x: F.exp(x - top)))
+
+    def shares(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda z: F.transform(w, lambda x: x / z))
+
+    return let(let(F.transform(logits, lambda x: x / floor), weights), shares)
 
 
-def cross_entropy(logits: Column, label: Column, temperature: float) -> Column:
-    """Negative log-likelihood of the true class at a temperature."""
-    scaled = [x / F.lit(float(temperature)) for x in _cells(logits)]
+def cross_entropy(logits: Column, label: Column, temperature: Column) -> Column:
+    """Negative log-likelihood of the true class at a temperature. Unrolled, so that a pass
+    over many temperatures stays in generated code."""
+    scaled = [x / temperature for x in _cells(logits)]
     top = F.greatest(*scaled)
     mass = reduce(add, [F.exp(x - top) for x in scaled])
-    return F.log(mass) + top - F.get(logits, label) / F.lit(float(temperature))
+    return F.log(mass) + top - F.get(logits, label) / temperature
 
 
 def one_hot(label: Column) -> Column:

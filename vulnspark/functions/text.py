@@ -44,6 +44,38 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Doubling steps cover arrays of up to 2**21 elements, far above a source file's 2 MiB.
+_STEPS = [2**k for k in range(21)]
+
+
+def prefix_sums(values: Column) -> Column:
+    """Inclusive running totals of a numeric array, by doubling steps: n log n work.
+
+    Appending totals one by one inside `aggregate` would copy the array for every element.
+    """
+
+    def reach(v: Column, step: Column) -> Column:
+        summed = F.transform(v, lambda x, i: x + F.coalesce(F.get(v, i - step), F.lit(0)))
+        return F.when(F.size(v) <= step, v).otherwise(summed)
+
+    return F.aggregate(F.lit(_STEPS), values, reach)
+
+
+def probe_steps(ascending: Column) -> Column:
+    """The steps `last_at_most` takes over this array, largest first."""
+    return F.filter(F.lit(_STEPS[::-1]), lambda step: step < F.size(ascending))
+
+
+def last_at_most(ascending: Column, steps: Column, value: Column) -> Column:
+    """0-based index of the last element <= value (0 if there is none), by binary search."""
+
+    def probe(at: Column, step: Column) -> Column:
+        fits = F.coalesce(F.get(ascending, at + step) <= value, F.lit(False))
+        return F.when(fits, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), probe)
+
+
 def fingerprint(code: Column) -> Column:
     return F.substring(F.sha2(code, 256), 1, 16)
 

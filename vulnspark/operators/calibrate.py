@@ -86,26 +86,24 @@ def temperature_grid(low: float = 0.05, high: float = 20.0, points: int = 48) ->
 def fit_temperature(rows: DataFrame, grid: list[float] | None = None) -> DataFrame:
     """The grid temperature with the least mean cross-entropy, in one pass.
 
-    Each grid point is one partial average, so a task sends a single row whatever its input.
+    Every row meets every grid point, but averages combine inside the task, so a task sends
+    one row per grid point whatever its input. Temperature 1 rides along as `nll_before`.
     """
-    grid = grid or temperature_grid()
-    means = rows.agg(
-        F.count("*").alias("n"),
-        F.avg(cross_entropy(F.col("logits"), F.col("y_true"), 1.0)).alias("nll_before"),
-        *[
-            F.avg(cross_entropy(F.col("logits"), F.col("y_true"), t)).alias(f"t{i}")
-            for i, t in enumerate(grid)
-        ],
-    )
-    points = F.array(
-        *[
-            F.struct(F.col(f"t{i}").alias("nll"), F.lit(float(t)).alias("t"))
-            for i, t in enumerate(grid)
-        ]
+    points = F.lit([1.0, *(grid or temperature_grid())])
+    losses = (
+        rows.select("logits", "y_true", F.posexplode(points).alias("point", "t"))
+        .groupBy("point", "t")
+        .agg(
+            F.count("*").alias("n"),
+            F.avg(cross_entropy(F.col("logits"), F.col("y_true"), F.col("t"))).alias("nll"),
+        )
     )
-    best = means.withColumn("best", F.array_min(points))
-    return best.select(
-        F.col("best.t").alias("temperature"), "nll_before", F.col("best.nll").alias("nll_after"), "n"
+    on_grid = F.when(F.col("point") > 0, F.struct("nll", "t"))
+    return losses.agg(
+        F.min(on_grid)["t"].alias("temperature"),
+        F.max(F.when(F.col("point") == 0, F.col("nll"))).alias("nll_before"),
+        F.min(on_grid)["nll"].alias("nll_after"),
+        F.max("n").alias("n"),
     )
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.functions.text import let, split_lines_keep, tokens
+from vulnspark.functions.text import let, prefix_sums, split_lines_keep, tokens
 
 FUNCTIONS, MODULE, ALL = "functions", "module", "all"
 MODULE_NAME = "<module>"
@@ -158,13 +158,7 @@ def window_array(
             text["lines"].alias("lines"),
             size.alias("size"),
             F.greatest(size - F.least(back, size - 1), F.lit(1)).alias("step"),
-            F.aggregate(
-                text["lines"],
-                F.array(start_byte),
-                lambda acc, line: F.array_append(
-                    acc, F.element_at(acc, -1) + F.octet_length(line)
-                ),
-            ).alias("offsets"),
+            prefix_sums(F.transform(text["lines"], F.octet_length)).alias("ends"),
         )
 
     def cut(plan: Column) -> Column:
@@ -178,8 +172,8 @@ def window_array(
                 F.array_join(F.slice(plan["lines"], first + 1, last - first), "").alias("code"),
                 (start_line + first).alias("start_line"),
                 (start_line + last - 1).alias("end_line"),
-                F.get(plan["offsets"], first).alias("start_byte"),
-                F.get(plan["offsets"], last).alias("end_byte"),
+                (start_byte + F.coalesce(F.get(plan["ends"], first - 1), F.lit(0))).alias("start_byte"),
+                (start_byte + F.get(plan["ends"], last - 1)).alias("end_byte"),
             )
 
         return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), window)

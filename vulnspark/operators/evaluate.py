@@ -22,11 +22,14 @@ CLASSES = range(NUM_LABELS)
 def _matrices(predictions: DataFrame, by: list[str]) -> DataFrame:
     """One row per group with its confusion counts as an array `cm`, row-major."""
     cells = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
-    hit = lambda t, p: (F.col("y_true") == t) & (F.col("y_pred") == p)
-    counts = [
-        F.coalesce(F.sum(F.when(hit(t, p), F.col("n"))), F.lit(0)) for t in CLASSES for p in CLASSES
-    ]
-    return cells.groupBy(*by).agg(F.array(*counts).alias("cm"))
+    # At most 49 entries a group, so collecting them is bounded.
+    entry = F.struct((F.col("y_true") * NUM_LABELS + F.col("y_pred")).alias("at"), "n")
+    counts = F.map_from_entries(F.collect_list(entry))
+    dense = F.transform(
+        F.lit(list(range(NUM_LABELS**2))),
+        lambda at: F.coalesce(F.try_element_at(F.col("_counts"), at), F.lit(0)),
+    )
+    return cells.groupBy(*by).agg(counts.alias("_counts")).select(*by, dense.alias("cm"))
 
 
 def _cell(t: int, p: int) -> Column:

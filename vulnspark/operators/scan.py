@@ -111,10 +111,14 @@ def merge_window_array(chunks: DataFrame, temperature: Column | float) -> DataFr
 
 def with_prediction(rows: DataFrame) -> DataFrame:
     """label, severity and confidence of each row's `probs`."""
-    label_id = argmax(F.col("probs"))
-    return rows.withColumns(
-        {"label": label_name(label_id), "confidence": F.get("probs", label_id)}
-    ).withColumn("severity", severity_for(F.col("label")))
+    top = let(
+        F.col("probs"),
+        lambda p: F.struct(argmax(p).alias("id"), F.array_max(p).alias("confidence")),
+    )
+    named = rows.withColumn("_top", top).withColumns(
+        {"label": label_name(F.col("_top.id")), "confidence": F.col("_top.confidence")}
+    )
+    return named.withColumn("severity", severity_for(F.col("label"))).drop("_top")
 
 
 def reportable(predictions: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnspark.functions.probability import argmax
-from vulnspark.functions.text import SPACE, TOKEN, let, split_lines
+from vulnspark.functions.text import SPACE, TOKEN, let, prefix_sums, split_lines
 from vulnspark.operators.chunks import line_windows
 from vulnspark.session import spread
 from vulnspark.taxonomy import label_name, severity_for
@@ -221,18 +221,21 @@ def digit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_token_scores(chunks: DataFrame) -> DataFrame:
     """Adds token_scores: per token its character offset and a score made from its text."""
     pieces = F.regexp_extract_all(F.col("code"), F.lit(f"[{SPACE}]*(?:{TOKEN})"), F.lit(0))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,score:double>>").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        def add(token: Column) -> Column:
-            size = F.length(piece)
-            score = ((F.ascii(token) * 31 + F.length(token)) % 101) / 100
-            item = F.struct((acc["pos"] + size - F.length(token)).alias("start"), score.alias("score"))
-            return F.struct((acc["pos"] + size).alias("pos"), F.array_append(acc["out"], item).alias("out"))
+    def scores(p: Column) -> Column:
+        def entry(piece: Column, end: Column) -> Column:
+            token = F.regexp_replace(piece, f"^[{SPACE}]+", "")
+            return let(
+                token,
+                lambda t: F.struct(
+                    (end - F.length(t)).alias("start"),
+                    ((F.ascii(t) * 31 + F.length(t)) % 101 / 100).alias("score"),
+                ),
+            )
 
-        return let(F.regexp_replace(piece, f"^[{SPACE}]+", ""), add)
+        return F.zip_with(p, prefix_sums(F.transform(p, F.length)), entry)
 
-    return chunks.withColumn("token_scores", F.aggregate(pieces, empty, step, lambda acc: acc["out"]))
+    return chunks.withColumn("token_scores", let(pieces, scores))
 
 
 # --- Python modules written from the documents ---
