@@ -203,6 +203,8 @@ def line_windows(chunks: DataFrame, **options) -> DataFrame:
     """Chunks with each oversized one replaced by its line windows."""
     cut = with_windows(chunks, **options).withColumn("window_count", F.size("windows"))
     kept = [c for c in cut.columns if c not in (*CHUNK_SPAN, "windows", "window_index")]
-    return cut.select(*kept, F.posexplode("windows").alias("window_index", "w")).select(
+    # The outer form, because the plain one adds a filter on the array's size, which is pushed
+    # down and computes the windows a second time. No array of windows is empty.
+    return cut.select(*kept, F.posexplode_outer("windows").alias("window_index", "w")).select(
         *kept, "window_index", "w.*"
     )

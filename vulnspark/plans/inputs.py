@@ -206,7 +206,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         F.col("source").alias("package"),
         lit_concat("doc_", F.col("doc_id")).alias("file_path"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "line_text"),
+        F.posexplode_outer(F.split("text", "\n")).alias("pos", "line_text"),
     ).withColumn("line", F.col("pos") + 1)
 
 

@@ -22,7 +22,7 @@ from vulnspark.operators import (
 )
 from vulnspark.plans import inputs
 from vulnspark.plans.build import build_corpus
-from vulnspark.session import spread, work_folder
+from vulnspark.session import materialize, spread, work_folder
 from vulnspark.sources import archives, corpus, findings, reports
 from vulnspark.streaming import jobs
 from vulnspark.taxonomy import severity_for
@@ -358,7 +358,9 @@ FILE_KEYS = ["package", "file_path"]
 
 @query
 def label_chunks(spark, sf):
-    usable = labeling.usable_length(inputs.document_chunks(spark, sf, *inputs.LONG))
+    # Chunks are read twice: once to find the hits inside, once to be labeled.
+    stored = materialize(inputs.document_chunks(spark, sf, *inputs.LONG), work_folder(spark), "chunks")
+    usable = labeling.usable_length(stored)
     labeled = labeling.label_chunks(usable, _hits(spark, sf), FILE_KEYS, [*FILE_KEYS, "start_byte"])
     return labeled.select(
         "file_path", "start_byte", "label", "labeler", F.col("vulnerable_lines")[0].alias("line")
@@ -529,8 +531,8 @@ def calibration_transfer(spark, sf):
 def line_attribution(spark, sf):
     rows = localize.attribute_lines(inputs.with_token_scores(inputs.document_chunks(spark, sf)))
     lines = rows.select(
-        "doc_id", "window_index", F.posexplode("contributing_lines").alias("rank", "l")
-    )
+        "doc_id", "window_index", F.posexplode_outer("contributing_lines").alias("rank", "l")
+    ).filter("l is not null")
     return lines.select(
         "doc_id", "window_index", "rank", "l.line", r6("l.score").alias("score"), F.md5("l.text").alias("text_digest")
     )
@@ -781,6 +783,13 @@ def dedup_kept(spark, sf):
     return kept.select("doc_id", "is_synthetic")
 
 
+@query
+def dedup_kept_fast(spark, sf):
+    """Full size with vectorized hashing, for corpora where published values do not matter."""
+    kept, _ = dedup.deduplicate(inputs.corpus(spark, sf), "doc_id", mode=dedup.FAST)
+    return kept.select("doc_id", "is_synthetic")
+
+
 @query
 def dedup_kept_full(spark, sf):
     """The default parameters: 128 hashes, 16 bands, published hash values."""

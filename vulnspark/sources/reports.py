@@ -35,7 +35,7 @@ def cwe_hits(report: DataFrame, keys: tuple[str, ...] = ("path", "line")) -> Dat
     """
     ids = F.regexp_extract_all(F.col("cwe"), F.lit(r"CWE-\d+"), F.lit(0))
     return (
-        report.select(*keys, F.posexplode(ids).alias("ord", "cwe_id"))
+        report.select(*keys, F.posexplode_outer(ids).alias("ord", "cwe_id"))
         .withColumn("label", label_from_cwe(F.col("cwe_id")))
         .filter(F.col("label").isNotNull())
     )
