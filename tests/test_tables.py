@@ -45,7 +45,7 @@ def records(spark, *rows):
 
 def test_corpus_roundtrip_keeps_text_and_skips_blank_lines(spark, folder):
     rows = records(spark, record(code="é\n\t\"q\" \\   x"), record(repo="b", label="XSS"))
-    corpus.write_corpus(rows, f"{folder}/deep/corpus")
+    assert corpus.write_corpus(rows, f"{folder}/deep/corpus") == 2
     back = corpus.read_corpus(spark, f"{folder}/deep/corpus")
     assert sorted(back.collect(), key=str) == sorted(rows.collect(), key=str)
     with open(f"{folder}/blank.json", "w") as fh:
@@ -249,6 +249,19 @@ def test_metrics_by_hand(spark):
     assert evaluate.confusion_matrix(df).count() == 49
 
 
+def test_benchmark_covers_every_approach_and_caps_test_sets(spark):
+    rows = [(a, s, i, i % 7, i % 7 if a == "forest" else 0) for a in ("forest", "rules") for s in ("full", "real") for i in range(30)]
+    df = spark.createDataFrame(rows, "approach string, test_set string, record_id int, y_true int, y_pred int")
+    timings = spark.createDataFrame([("forest", "full", 0.1)], "approach string, test_set string, seconds_per_sample double")
+    table = {(r.approach, r.test_set): r for r in evaluate.benchmark_table(df, timings).collect()}
+    assert len(table) == 4 and table["forest", "full"].seconds_per_sample == 0.1
+    assert table["forest", "real"].macro_f1 == 1.0 and table["rules", "real"].vulnerable_detection_rate == 0.0
+    assert {r.n for r in evaluate.benchmark_table(df, max_test=10).collect()} == {10}
+    truth = df.filter("approach = 'rules' and test_set = 'full'")
+    joined = evaluate.align(truth.select("record_id", "y_pred").orderBy(F.desc("record_id")), truth)
+    assert joined.filter("y_true = record_id % 7").count() == 30
+
+
 def test_metrics_without_safe_rows(spark):
     m = evaluate.metrics(spark.createDataFrame([(1, 0)], "y_true int, y_pred int")).first()
     assert (m.false_positive_rate, m.vulnerable_detection_rate, m.macro_f1_supported) == (0.0, 0.0, 0.0)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import tokens_ml
+from vulnspark.taxonomy import NUM_LABELS
 
 
 def with_tokens(records: DataFrame, code: str = "code") -> DataFrame:
@@ -17,8 +18,13 @@ def with_tokens(records: DataFrame, code: str = "code") -> DataFrame:
 
 
 def balanced_weights(records: DataFrame, label: str) -> DataFrame:
-    """Adds `weight` = rows / (classes x rows of the class); few classes, so broadcast."""
-    counts = records.groupBy(label).agg(F.count("*").alias("_n"))
+    """Adds `weight` = rows / (classes x rows of the class).
+
+    Class ids outside the taxonomy are refused, so at most seven rows are broadcast.
+    """
+    known = F.col(label).between(0, NUM_LABELS - 1)
+    checked = F.when(known, F.col(label)).otherwise(F.raise_error(F.lit("unknown class id")))
+    counts = records.groupBy(checked.cast("int").alias(label)).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes")).first()
     factor = totals["_rows"] / totals["_classes"]
     weights = counts.select(label, (F.lit(factor) / F.col("_n")).alias("weight"))

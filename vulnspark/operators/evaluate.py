@@ -139,7 +139,7 @@ def benchmark_table(
         rank = F.row_number().over(W.partitionBy(*by).orderBy("record_id"))
         predictions = predictions.withColumn("_rank", rank).filter(F.col("_rank") <= max_test)
     table = metrics(predictions, by, per_class=False)
-    return table if timings is None else table.join(F.broadcast(timings), by, "left")
+    return table if timings is None else table.join(timings, by, "left")
 
 
 def align(predictions: DataFrame, truth: DataFrame, key: str = "record_id") -> DataFrame:

@@ -14,8 +14,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CORPUS).json(path, mode="FAILFAST")
 
 
-def write_corpus(records: DataFrame, path: str) -> None:
+def write_corpus(records: DataFrame, path: str) -> int:
+    """JSON lines; returns how many were written (line breaks inside text are escaped)."""
     records.write.json(path)
+    return records.sparkSession.read.text(path).count()
 
 
 def write_splits(records: DataFrame, path: str) -> None:
