@@ -42,13 +42,6 @@ def r6(col: Column | str) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, 6)
 
 
-def joined(values: Column, digits: int = 6) -> Column:
-    """A numeric array as text, which both engines print alike."""
-    return F.array_join(
-        F.transform(values, lambda x: F.format_number(x, digits)), ","
-    )
-
-
 # --- sources and sinks ---
 
 
