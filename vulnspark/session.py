@@ -32,10 +32,13 @@ def build_session(
 def work_folder(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder the cluster names.
 
-    A temporary folder is set only where the session names none (tests).
+    A temporary folder is set only where the session names none and runs in one process
+    (tests): the executors of a cluster do not see the driver's disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="vulnspark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vulnspark-{uuid.uuid4().hex}"
