@@ -26,7 +26,7 @@ from vulnspark.llm.common import Memo, Store, rows
 
 SIZE = 1024
 END = 2
-GROUP = 100_000
+GROUP = 4_000
 
 
 #: Splits words, numbers, signs and white space before merging; a fixed value of the vocabulary.

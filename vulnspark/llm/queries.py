@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vulnspark.llm.common import documents
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.packing import pack
+from vulnspark.llm.toxicity import toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +19,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES = {
