@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vulnspark.llm.common import documents
+from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.packing import pack
 from vulnspark.llm.toxicity import toxicity
@@ -15,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -25,6 +30,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_decontamination": op5_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
 }
