@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vulnspark.llm.common import documents
 from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
+from vulnspark.llm.html_text import extract_pages
 from vulnspark.llm.packing import pack
 from vulnspark.llm.toxicity import toxicity
 
@@ -28,11 +29,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_decontamination": op5_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
