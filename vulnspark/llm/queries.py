@@ -10,6 +10,8 @@ from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.html_text import extract_pages
 from vulnspark.llm.packing import pack
+from vulnspark.llm.secret_scan import scan_secrets, secret_digests
+from vulnspark.llm.substring_dedup import kept_digests, remove_repeats
 from vulnspark.llm.toxicity import toxicity
 
 
@@ -17,10 +19,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(scan_secrets(documents(spark, sf_dir)))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digests(remove_repeats(documents(spark, sf_dir)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -35,13 +45,38 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_secret_scans": op3_secret_scans,
     "op5_decontamination": op5_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
+    "op7_substring_dedup": """
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, w FROM words WHERE len(w) >= 20
+        ), named AS (
+            SELECT doc_id, start, array_to_string(w[start:start + 19], ' ') AS body FROM windows
+        ), repeats AS (
+            SELECT doc_id, start FROM named
+            QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM repeats
+        ), each AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n
+            FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
