@@ -12,6 +12,7 @@ from vulnspark.llm.html_text import extract_pages
 from vulnspark.llm.packing import pack
 from vulnspark.llm.secret_scan import scan_secrets, secret_digests
 from vulnspark.llm.substring_dedup import kept_digests, remove_repeats
+from vulnspark.llm.suffix_dedup import byte_digests, remove_repeated_bytes
 from vulnspark.llm.toxicity import toxicity
 
 
@@ -19,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_digests(remove_repeated_bytes(documents(spark, sf_dir)))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(scan_secrets(documents(spark, sf_dir)))
 
@@ -45,6 +50,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_decontamination": op5_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
