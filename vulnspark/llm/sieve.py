@@ -75,6 +75,7 @@ def repeated_marks(marks: DataFrame, store: Store) -> DataFrame:
     rows: counts are combined before the shuffle, and the join's large keys are split at run
     time. The list of a document is bounded by its length."""
     own = store.save(marks, "marks")
-    often = own.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    # Saved, so that the join has a plain exchange on either side and large keys can be split.
+    often = store.save(own.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "often")
     found = own.join(often, "mark")
     return store.save(found.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "repeated")
