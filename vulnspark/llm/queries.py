@@ -9,6 +9,7 @@ from vulnspark.llm.common import documents
 from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.html_text import extract_pages
+from vulnspark.llm.license_scan import find_licences
 from vulnspark.llm.packing import pack
 from vulnspark.llm.secret_scan import scan_secrets, secret_digests
 from vulnspark.llm.substring_dedup import kept_digests, remove_repeats
@@ -32,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licences(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digests(remove_repeats(documents(spark, sf_dir)))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scans": op6_license_scans,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
