@@ -10,6 +10,7 @@ from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.html_text import extract_pages
 from vulnspark.llm.license_scan import find_licences
+from vulnspark.llm.ngram_join import similar_components
 from vulnspark.llm.packing import pack
 from vulnspark.llm.secret_scan import scan_secrets, secret_digests
 from vulnspark.llm.substring_dedup import kept_digests, remove_repeats
@@ -29,6 +30,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(scan_secrets(documents(spark, sf_dir)))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_secret_scans": op3_secret_scans,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_license_scans": op6_license_scans,
     "op7_substring_dedup": op7_substring_dedup,
@@ -66,6 +72,32 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id
+            WHERE 100 * c >= 75 * (a.n + b.n - c)
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT r.doc_id, y FROM reached r JOIN links ON r.other = x
+        )
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+        FROM documents d
+        JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+        LEFT JOIN sizes USING (doc_id)
+    """,
     "op7_substring_dedup": """
         WITH words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w
