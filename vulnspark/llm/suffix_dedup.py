@@ -43,7 +43,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Seven bytes, and how many of them there are: the end of the data precedes every byte.
     step = 7
     keys = (heads & ~np.uint64(255)) | np.minimum(np.arange(n, 0, -1), step).astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     starts = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
     rank = np.zeros(n + 1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
@@ -52,7 +52,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(at):
         mine = order[at]
         own, follow = rank[mine], rank[np.minimum(mine + step, n)]
-        place = np.argsort((own << 32) | follow, kind="stable")
+        place = np.argsort((own << 32) | follow)
         mine, own, follow = mine[place], own[place], follow[place]
         order[at] = mine
         starts = np.append(True, (own[1:] != own[:-1]) | (follow[1:] != follow[:-1]))
@@ -109,10 +109,10 @@ def repeated_windows(bodies: list[bytes], length: int = LENGTH) -> tuple[np.ndar
     return order[keep], classes[keep], first
 
 
-def _runs(flags: np.ndarray) -> list[int]:
-    """First and last places of the runs of True."""
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """First and last places of the runs of True, one run a row."""
     edges = np.diff(flags.astype(np.int8), prepend=0, append=0)
-    return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1]).ravel().tolist()
+    return np.column_stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1])
 
 
 class Shard:
@@ -128,19 +128,22 @@ class Shard:
     def result(self) -> pa.RecordBatch:
         bodies = [s[-1] for s in self.segments]
         places, classes, first = repeated_windows(bodies, self.length)
-        _, inverse, sizes = np.unique(classes, return_inverse=True, return_counts=True)
+        sizes = np.bincount(classes)
         flags = np.zeros(sum(map(len, bodies)), bool)
-        flags[places] = sizes[inverse] > 1
+        flags[places] = sizes[classes] > 1
         out: list[tuple] = []
-        split = np.zeros(len(bodies), bool)
-        for k, (_, parts, d1, d2, copies, body) in enumerate(self.segments):
-            split[k] = parts > 1
-            own = flags[first[k] : first[k] + len(body) - self.length + 1]
-            runs = [0, len(own) - 1] if copies > 1 else _runs(own)
-            if runs:
+        split = np.array([s[1] > 1 for s in self.segments])
+        # No window starts in the last bytes of a segment, so no run goes on into the next one.
+        found = _runs(flags)
+        bounds = np.searchsorted(found[:, 0], np.append(first, len(flags))).tolist()
+        for k, (_, _, d1, d2, copies, body) in enumerate(self.segments):
+            if copies > 1:
+                out.append((d1, d2, [0, len(body) - self.length], None, None, None, None, None))
+            elif bounds[k] < bounds[k + 1]:
+                runs = (found[bounds[k] : bounds[k + 1]] - first[k]).ravel().tolist()
                 out.append((d1, d2, runs, None, None, None, None, None))
         if split.any():
-            one = places[np.unique(classes, return_index=True)[1]]
+            one = places[changes(classes)]
             owner = np.searchsorted(first, one, "right") - 1
             for place, k in zip(one.tolist(), owner.tolist(), strict=True):
                 mark, parts, d1, d2, _, body = self.segments[k]
@@ -241,16 +244,14 @@ def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for _, text, found in rows(batch):
-                data = text.encode()
-                gone = np.zeros(len(data) + 1, np.int64)
-                for segment in found or ():
-                    runs = np.array(segment["runs"], np.int64).reshape(-1, 2) + segment["start"]
-                    np.add.at(gone, runs[:, 0], 1)
-                    np.add.at(gone, runs[:, 1] + length, -1)
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                data = text.as_py().encode()
+                runs = np.empty((0, 2), np.int64) if found.values is None else found.values.to_numpy().reshape(-1, 2)
+                last = len(data) + 1
+                gone = np.bincount(runs[:, 0], minlength=last) - np.bincount(runs[:, 1] + length, minlength=last)
                 covered = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(data, np.uint8)[~covered].tobytes() if found else data
-                values = (len(data), int(covered.sum()), len(_runs(covered)) // 2, kept)
+                kept = np.frombuffer(data, np.uint8)[~covered].tobytes() if len(runs) else data
+                values = (len(data), int(covered.sum()), len(_runs(covered)), kept)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -303,7 +304,7 @@ def remove_repeated_bytes(
         places.select("d1", "d2", "doc_id", "start")
         .join(runs, ["d1", "d2"])
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "runs")).alias("found"))
+        .agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("start")))).alias("found"))
     )
     every = texts.join(store.save(by_doc, "by_doc"), "doc_id", "left").select("doc_id", "text", "found")
     return every.mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
