@@ -93,5 +93,5 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows that stay, with all their columns; a row of a null id leaves if its text has another id."""
     groups = exact_groups(docs, id_col, text_col)
     gone = groups.filter("NOT kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.sha2(text_of(text_col), 256) == F.col("_sha"))
+    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["_sha"])
     return docs.join(gone, same, "left_anti")

@@ -248,3 +248,11 @@ def similar_components(
     named = store.save(classes.join(linked, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "named")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return sets.join(named, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of the smallest id of their component, with all their columns; those of a null
+    id stay."""
+    found = similar_components(docs, id_col, text_col)
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
