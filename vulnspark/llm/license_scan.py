@@ -150,14 +150,13 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_both", let(_words(F.col(text)), both)).select("*", "_both.*").drop("_both")
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line, paragraph): the lines that hold a cue word."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).filter(has_cue(F.col("text")))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    lines = docs.filter(has_cue(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     return lines.filter(has_cue(F.col("paragraph")))
 
 
-def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(family, held_out, paragraph): notices and other sentences, each in `VARIANTS` forms that lose
     about an eighth of their words, and lines of sampled documents that hold no cue by
     themselves, each opened by a cue: those are unknown."""
@@ -169,11 +168,11 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -
     thinned = base.select(
         "family", (F.col("form") % 5 == 4).alias("held_out"), F.array_join(F.filter(F.split("text", " "), lambda w, i: ~lost(w, i)), " ").alias("paragraph")
     )
-    key = F.xxhash64(id_col)
-    some = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).distinct()
+    key = F.xxhash64("doc_id")
+    some = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(key, "doc_id").limit(SAMPLE).distinct()
     lines = (
-        docs.join(F.broadcast(some), F.col(id_col) == F.col("_id"))
-        .select(key.alias("key"), F.explode(F.slice(F.split(text_of(text_col), "\n"), 1, 4)).alias("line"))
+        docs.join(F.broadcast(some), "doc_id")
+        .select(key.alias("key"), F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line"))
         .filter(~has_cue(F.col("line")))
     )
     cues = F.array(*map(F.lit, CUES[:5]))
@@ -207,10 +206,10 @@ def scored(df: DataFrame, model: Model) -> DataFrame:
     return odds.withColumn("guess", F.element_at(names, best)).withColumn("probability", F.array_max("odds") / total).drop("odds")
 
 
-def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(spark: SparkSession, docs: DataFrame) -> Model:
     """Trains on the forms that are not held out; the threshold is the least probability, 0.5 at
     least, at which no held-out paragraph of the unknown class takes a family."""
-    sample = Store(spark).save(with_features(labelled(spark, docs, id_col, text_col), "paragraph"), "labelled")
+    sample = Store(spark).save(with_features(labelled(spark, docs), "paragraph"), "labelled")
     families = [*NOTICES, UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     train = sample.filter("NOT held_out").select(number.cast("double").alias("label"), "features")
@@ -244,8 +243,9 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scanned one by one; other columns are not read; an empty table gives no rows. One pass
     without a shuffle.
     """
-    model = fit(docs.sparkSession, docs, id_col, text_col)
-    guessed = scored(with_features(paragraphs(docs, id_col, text_col), "paragraph"), model)
+    docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    model = fit(docs.sparkSession, docs)
+    guessed = scored(with_features(paragraphs(docs), "paragraph"), model)
     sure = guessed.filter((F.col("guess") != UNKNOWN) & (F.col("probability") > model.threshold))
     confirmed = sure.withColumn("cover", cover(F.col("words"), F.col("guess"))).filter(F.col("cover") >= LEAST_COVER)
     return confirmed.select("doc_id", "line", F.col("guess").alias("family"), "probability", "cover", "paragraph")
