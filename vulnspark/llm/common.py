@@ -26,6 +26,7 @@ class Store:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = work_folder(spark)
+        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
@@ -39,7 +40,15 @@ class Store:
                 conf.unset(FREE_SHUFFLES)
             else:
                 conf.set(FREE_SHUFFLES, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(saved)] = path
+        return saved
+
+    def drop(self, *saved: DataFrame) -> None:
+        """Removes tables that no result reads any more."""
+        for df in saved:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str = "text"):

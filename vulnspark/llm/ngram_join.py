@@ -73,7 +73,7 @@ def _sets(n: int):
 
 
 def _tokens(n: int, take):
-    """(doc_id, n, token) of the first take(n) tokens of each document in hash order."""
+    """(doc_id, token) of the first take(n) tokens of each document in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -82,11 +82,9 @@ def _tokens(n: int, take):
             for _, text in rows(batch):
                 own = shingles(text)
                 found.append(own[: take(len(own))])
-                sizes.append((len(own), len(found[-1])))
-            total, taken = np.array(sizes, np.int64).reshape(-1, 2).T
-            at = np.repeat(np.arange(batch.num_rows), taken)
-            columns = [batch.column(0).take(pa.array(at)), pa.array(total[at]), longs(np.concatenate(found))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "token"])
+                sizes.append(len(found[-1]))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), longs(np.concatenate(found))], names=["doc_id", "token"])
 
     return run
 
@@ -99,23 +97,30 @@ def best_length(frequencies: np.ndarray, spare: int) -> int:
     return int(reach[np.argmin(entries + VERIFY * entries / reach)])
 
 
+def largest_partner(n: int, shared: int, percent: int) -> int:
+    """The size of the largest set that one of n tokens, `shared` of them in other sets too, can be
+    similar to: they share percent / (100 + percent) of both sizes."""
+    return min(shared * (100 + percent) // percent - n, n * 100 // percent)
+
+
 def _prefixes(percent: int):
     """Documents that can still have a partner, with their shared tokens and the prefix of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "tokens", "taken", "need", "alone"]
+        names = ["doc_id", "n", "most", "tokens", "taken", "need", "alone"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, n, shared in rows(batch):
                 alone = n - len(shared)
                 spare = n - own_share(n, percent) - alone
-                if spare < 0:
+                most = largest_partner(n, len(shared), percent)
+                if spare < 0 or most < own_share(n, percent):
                     continue
                 need = best_length(np.array([x["f"] for x in shared], np.int64), spare)
-                values = (doc_id, n, [x["token"] for x in shared], min(spare + need, len(shared)), need, alone / n)
+                values = (doc_id, n, most, [x["token"] for x in shared], min(spare + need, len(shared)), need, alone / n)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.float64()]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
@@ -151,11 +156,18 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def size_class(n):
+    """Numbers of sizes in steps of a twentieth."""
+    return F.floor(F.log(n) / F.log(F.lit(1.05)))
+
+
 class _Join:
+    """Finds the links between prefixes that connect components, and the components."""
+
     def __init__(self, prefixes: DataFrame, store: Store, percent: int):
         self.store, self.percent, self.docs = store, percent, prefixes
-        lists = prefixes.select("doc_id", "need", "alone", F.explode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("token"))
-        self.lists = store.save(lists, "lists")
+        token = F.explode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("token")
+        self.lists = store.save(prefixes.select("doc_id", "n", "most", "need", "alone", token), "lists")
         self.edges = prefixes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
         self.roots = components(self.edges, store)
 
@@ -164,10 +176,16 @@ class _Join:
         roots = self.roots.withColumnRenamed("node", "doc_id")
         own = self.lists.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         own = self.store.save(own, "entries")
-        first = F.min(F.struct("alone", "doc_id", "root")).alias("first")
+        first = F.min(F.struct("alone", "doc_id", "root", "n", "most")).alias("first")
         stats = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), first)
-        stats = stats.filter("low <> high").select("token", F.col("first.doc_id").alias("leader"), F.col("first.root").alias("leader_root"))
-        return self.store.save(own.join(self.store.save(stats, "stats"), "token"), "mixed")
+        stats = stats.filter("low <> high").select("token", "first")
+        found = self.store.save(own.join(self.store.save(stats, "stats"), "token"), "mixed")
+        self.store.drop(own)
+        return found
+
+    def fits(self, n_a, most_a, n_b, most_b):
+        """Whether sizes alone allow the two to be similar."""
+        return (n_a <= most_b) & (n_b <= most_a)
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs (a, b) that are similar to the edges. The sets of b travel with the pairs,
@@ -175,32 +193,45 @@ class _Join:
         sets = self.docs.select("doc_id", "n", "tokens")
         one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
         two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-        sizes = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-        small = one.drop("t_a")
-        close = self.store.save(pairs.join(small, "a").join(two.drop("t_b"), "b").filter(sizes).select("a", "b"), "pairs")
         shared = F.size(F.array_intersect("t_a", "t_b"))
-        told = close.join(two, "b").join(one, "a").withColumn("shared", shared)
+        told = self.store.save(pairs, "pairs").join(two, "b").join(one, "a").withColumn("shared", shared)
         links = told.filter(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * self.percent)
         self.edges = self.store.save(self.edges.unionByName(links.select("a", "b")), "links")
         self.roots = components(self.edges, self.store)
 
     def by_leaders(self) -> None:
-        other = F.col("root") != F.col("leader_root")
-        pairs = self.mixed().filter(other).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        self.verify(pairs)
+        mixed, first = self.mixed(), F.col("first")
+        able = self.fits(F.col("n"), F.col("most"), first["n"], first["most"]) & (F.col("root") != first["root"])
+        pairs = mixed.filter(able).select(first["doc_id"].alias("a"), F.col("doc_id").alias("b"))
+        self.verify(pairs.distinct())
+        self.store.drop(mixed)
 
     def by_counts(self) -> None:
         """All pairs of different components that share as many prefix tokens as either asks for.
-        Entries of a list's largest component meet only those of others."""
-        mixed = self.mixed().select("token", "doc_id", "need", "root")
+
+        Of two similar sets the smaller can be as large as the other one, so lists are kept by
+        size class and hold only sets that could have a partner of their own size; those look
+        for larger ones, the others for smaller ones. Entries of a list's largest component meet
+        only those of others."""
+        mixed = self.mixed()
         sizes = mixed.groupBy("token", "root").count()
         main = self.store.save(sizes.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
-        entries = self.store.save(mixed.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"), "told")
-        x = entries.filter("NOT in_main").select("token", F.col("doc_id").alias("x"), F.col("need").alias("need_x"), F.col("root").alias("root_x"))
-        y = entries.select("token", F.col("doc_id").alias("y"), F.col("need").alias("need_y"), F.col("root").alias("root_y"), "in_main")
-        met = x.join(y, "token").filter((F.col("root_x") != F.col("root_y")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
+        entries = mixed.join(main, "token").withColumn("in_main", F.col("root") == F.col("main"))
+        entries = self.store.save(entries.select("token", "doc_id", "n", "most", "need", "root", "in_main"), "told")
+        self.store.drop(mixed)
+        equal = F.col("most") >= F.col("n")
+        named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "most", "need", "root", "in_main")]
+        low = F.when(equal, F.col("n")).otherwise(F.ceil(F.col("n") * self.percent / 100))
+        classes = F.sequence(size_class(low), size_class(F.col("most")))
+        x = entries.select("token", *named("x"), low.alias("low_x"), F.explode(classes).alias("size"))
+        y = entries.filter(equal).select("token", *named("y"), size_class(F.col("n")).alias("size"))
+        able = self.fits(F.col("n_x"), F.col("most_x"), F.col("n_y"), F.col("most_y")) & (F.col("root_x") != F.col("root_y"))
+        once = (F.col("n_y") >= F.col("low_x")) & ((F.col("n_x") != F.col("n_y")) | (F.col("doc_id_x") < F.col("doc_id_y")))
+        keys = ["token", "size"]
+        met = x.filter("NOT in_main_x").join(y, keys).filter(able & once)
+        met = met.unionByName(x.filter("in_main_x").join(y.filter("NOT in_main_y"), keys).filter(able & once))
         need = F.min(F.least("need_x", "need_y")).alias("need")
-        pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), need)
+        pairs = met.groupBy(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).agg(F.count("*").alias("met"), need)
         self.verify(pairs.filter("met >= need").select("a", "b"))
 
 
@@ -223,21 +254,24 @@ def similar_components(
     classes = store.save(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    schema = f"doc_id {kind}, n long, token long"
+    schema = f"doc_id {kind}, token long"
     prefix = lambda size: size - own_share(size, percent) + 1 + size // SIEVE
     first = store.save(texts.join(chosen, "doc_id").mapInArrow(_tokens(n, prefix), schema), "prefixes")
     often = store.save(first.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1").select("token"), "often")
-    met = first.join(often, "token").groupBy("doc_id").agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    met = store.save(first.join(often, "token").groupBy("doc_id").agg(F.count("*").alias("met")), "met")
+    store.drop(first, often)
     # A partner may be smaller and so have emitted a shorter prefix: its share is what is asked for.
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / SIEVE)
-    left = store.save(met.filter(F.col("met") >= least).select("doc_id"), "sieved")
+    sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
+    left = store.save(met.join(sizes, "doc_id").filter(F.col("met") >= least).select("doc_id", "n"), "sieved")
 
-    tokens = store.save(texts.join(left, "doc_id").mapInArrow(_tokens(n, lambda size: size), schema), "tokens")
-    tally = store.save(tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"), "tally")
+    tokens = store.save(texts.join(left.select("doc_id"), "doc_id").mapInArrow(_tokens(n, lambda size: size), schema), "tokens")
+    tally = store.save(tokens.groupBy("token").agg(F.count("*").cast("int").alias("f")).filter("f > 1"), "tally")
     listed = F.sort_array(F.collect_list(F.struct("f", "token"))).alias("shared")
-    shared = tokens.join(tally, "token").groupBy("doc_id").agg(F.max("n").alias("n"), listed).select("doc_id", "n", "shared")
-    kept = f"doc_id {kind}, n long, tokens array<long>, taken int, need int, alone double"
+    shared = tokens.join(tally, "token").groupBy("doc_id").agg(listed).join(left, "doc_id").select("doc_id", "n", "shared")
+    kept = f"doc_id {kind}, n long, most long, tokens array<long>, taken int, need int, alone double"
     prefixes = store.save(shared.mapInArrow(_prefixes(percent), kept), "able")
+    store.drop(tokens, tally)
 
     join = _Join(prefixes, store, percent)
     for _ in range(LEADER_ROUNDS):
