@@ -2,128 +2,49 @@
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-from itertools import accumulate, groupby
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import let, prefix_sums, split_lines_keep, tokens
+from vulnspark.operators.source import ALL, FUNCTIONS, MODULE, chunk_rows, parse, parse_files
+
+__all__ = ["ALL", "FUNCTIONS", "MODULE"]
 
-FUNCTIONS, MODULE, ALL = "functions", "module", "all"
-MODULE_NAME = "<module>"
 CHUNK_SPAN = ("code", "start_line", "end_line", "start_byte", "end_byte")
 CHUNK_ROW = (
     "name string, code string, start_line int, end_line int, start_byte bigint, end_byte bigint, "
     "head string, tail string"
 )
 
-_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
-_NOT_MODULE_CODE = (*_FUNCTION, ast.ClassDef, ast.Import, ast.ImportFrom)
-_PHYSICAL_LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
-
-
-def key_ddl(rows: DataFrame, keys: list[str]) -> str:
-    """Schema text of the key columns, for Python jobs that carry them along."""
-    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def parse(source: str) -> ast.Module | None:
-    """The syntax tree, or None for a file that does not parse."""
-    try:
-        return ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
-def _outermost_functions(tree: ast.Module) -> Iterator[ast.stmt]:
-    pending = [tree]
-    while pending:
-        for child in ast.iter_child_nodes(pending.pop()):
-            if isinstance(child, _FUNCTION):
-                yield child
-            else:
-                pending.append(child)
-
 
-def _module_runs(tree: ast.Module) -> Iterator[list[ast.stmt]]:
-    for skipped, run in groupby(tree.body, lambda node: isinstance(node, _NOT_MODULE_CODE)):
-        if not skipped:
-            yield list(run)
-
-
-def chunk_rows(source: str, scope: str) -> list[tuple]:
-    """Rows of CHUNK_ROW plus is_module, by start byte.
-
-    `head` and `tail` are what stands before and after the chunk on its first and last
-    line, so that head + code + tail is whole source lines.
-    """
-    tree = parse(source)
-    if tree is None:
-        return []
-    raw = source.encode("utf-8", "replace")
-    starts = [0, *accumulate(map(len, _PHYSICAL_LINE.findall(raw)))]
-    text = lambda begin, end: raw[begin:end].decode("utf-8", "replace")
-
-    spans = []
-    if scope != MODULE:
-        for fn in _outermost_functions(tree):
-            begin = starts[fn.lineno - 1] + fn.col_offset
-            end = starts[fn.end_lineno - 1] + fn.end_col_offset
-            spans.append((begin, end, fn.name, fn.lineno, fn.end_lineno))
-    if scope != FUNCTIONS:
-        for run in _module_runs(tree):
-            first, last = run[0].lineno, max(node.end_lineno for node in run)
-            spans.append((starts[first - 1], starts[last], MODULE_NAME, first, last))
-    rows = []
-    for begin, end, name, first, last in sorted(spans):
-        edges = text(starts[first - 1], begin), text(end, max(starts[last], end))
-        rows.append((name, text(begin, end), first, last, begin, end, *edges, name == MODULE_NAME))
-    return rows
+def chunks_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per chunk of the files that `parse_files` parsed; `keys` are carried along."""
+    module = F.create_map(F.lit("scope"), F.lit("module"))
+    rows = parsed.select(*keys, F.explode("chunks").alias("c")).select(*keys, "c.*")
+    return rows.withColumns(
+        {
+            "window_index": F.lit(0),
+            "window_count": F.lit(1),
+            "metadata": F.when(F.col("is_module"), module).otherwise(F.create_map().cast("map<string,string>")),
+        }
+    ).drop("is_module")
 
 
 def chunk_files(files: DataFrame, keys: list[str], scope: str = ALL) -> DataFrame:
     """One row per chunk of each file's `content`; `keys` are carried along.
 
-    Outermost functions (methods included), runs of other top-level statements, or both.
+    Outermost functions (methods included), runs of other top-level statements, or both. Files
+    without a chunk because they do not parse are listed by `source.unparsable_files`.
     """
-    names = [*keys, "name", *CHUNK_SPAN, "head", "tail", "_module"]
-    schema = f"{key_ddl(files, keys)}, {CHUNK_ROW}, _module boolean"
-
-    def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (*key, *row)
-                for *key, source in batch.itertuples(index=False, name=None)
-                for row in chunk_rows(source, scope)
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    module = F.create_map(F.lit("scope"), F.lit("module"))
-    return (
-        files.select(*keys, "content")
-        .mapInPandas(chunk, schema)
-        .withColumns(
-            {
-                "window_index": F.lit(0),
-                "window_count": F.lit(1),
-                "metadata": F.when(F.col("_module"), module).otherwise(
-                    F.create_map().cast("map<string,string>")
-                ),
-            }
-        )
-        .drop("_module")
-    )
+    return chunks_of(parse_files(files, keys, scope), keys)
 
 
 class ChunkSource:
     """Python UDTF body: LATERAL chunk_source(content, scope) in SQL."""
 
     def eval(self, content: str, scope: str):
-        for row in chunk_rows(content or "", scope):
+        tree, _ = parse(content)
+        for row in chunk_rows(tree, content, scope) if tree else ():
             yield row[:-1]
 
 

@@ -18,7 +18,7 @@ from vulnspark.functions.text import (
     TOKEN_ML,
 )
 from vulnspark.operators.calibrate import bin_edges, temperature_grid
-from vulnspark.operators.labeling import GUARD_WORDS
+from vulnspark.operators.source import GUARD_WORDS
 from vulnspark.operators.splits import DEFAULT_SALT
 from vulnspark.plans.inputs import (
     CLASS_TEXTS,

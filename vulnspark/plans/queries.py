@@ -381,8 +381,7 @@ def mined_records(spark, sf):
         F.explode(F.array(F.lit(2), F.lit(5))).alias("line"),
         F.lit("SQL_INJECTION").alias("label"),
     )
-    functions = chunks.chunk_files(files, ["package", "version", "file_path"], chunks.FUNCTIONS)
-    records = labeling.mine_records(files, report.withColumn("ord", F.col("line")), functions)
+    records = labeling.mine_records(files, report.withColumn("ord", F.col("line")))
     return records.select(
         "repository_id", "file_path", "vulnerability_type", "start_line", "end_line",
         F.array_join(F.col("vulnerable_lines").cast("array<string>"), ",").alias("lines"),
