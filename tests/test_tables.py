@@ -192,6 +192,32 @@ def test_archive_verdicts_and_selection(spark, folder):
     assert sorted((r.archive.rsplit(".", 1)[1], r.file_path) for r in texts) == [
         ("tgz", "p/a.py"), ("zip", "p/a.py"), ("zip", "p/b.pyi"),
     ]
+    left = {(r.archive.rsplit("/", 1)[1], r.file_path): r.reason for r in archives.skipped_files(read, LIMITS).collect()}
+    assert {k: v for k, v in left.items() if k[0].startswith("ok")} == {
+        ("ok.zip", "p/.git/c.py"): "skipped_folder",
+        ("ok.zip", "node_modules/d.py"): "skipped_folder",
+        ("ok.tgz", "p/bad.py"): "not_utf8",
+        ("ok.tgz", "p/big.py"): "file_too_large",
+    }
+    assert {k[0]: v for k, v in left.items() if k[1] is None} == {k: v for k, v in got.items() if v}
+
+
+def test_damaged_and_encrypted_archives_are_refused_alone(spark):
+    code = b"".join(b"x = %d\n" % i for i in range(200))
+    good = zipped({"a.py": code})
+    damaged, encrypted = bytearray(good), bytearray(good)
+    at = good.index(b"a.py") + 4
+    damaged[at + 20] ^= 0xFF
+    for header in (b"PK\x03\x04", b"PK\x01\x02"):
+        place = good.index(header) + (6 if header[2] == 3 else 8)
+        encrypted[place] |= 1
+    blobs = {"good": good, "damaged": bytes(damaged), "encrypted": bytes(encrypted), "cut": good[: len(good) // 2], "none": None}
+    df = spark.createDataFrame([(k, len(v or b""), v) for k, v in blobs.items()], "archive string, upload_bytes bigint, content binary")
+    assert [(r.archive, r.file_path) for r in archives.read_sources(df).collect()] == [("good", "a.py")]
+    left = {r.archive: r.reason for r in archives.skipped_files(df).collect()}
+    assert left == {"damaged": "unreadable", "encrypted": "unreadable", "cut": "unsupported_format", "none": "unsupported_format"}
+    plan = archives.read_sources(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("MapInPandas") == 1 and "Exchange" not in plan
 
 
 # --- splits ---

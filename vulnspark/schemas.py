@@ -40,6 +40,7 @@ RULE_REPORT = "results array<struct<filename:string, test_id:string>>"
 SOURCES = ("cvefixes", "juliet", "mined")
 SYNTHETIC_SOURCES = ("juliet",)
 
+ARCHIVES = "archive string, upload_bytes bigint, content binary"
 ARCHIVE_MEMBERS = (
     "archive string, format string, upload_bytes bigint, member_index int, name string, "
     "kind string, size bigint, compressed bigint"
