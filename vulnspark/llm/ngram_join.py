@@ -116,7 +116,9 @@ def _prefixes(percent: int):
                 most = largest_partner(n, len(shared), percent)
                 if spare < 0 or most < own_share(n, percent):
                     continue
-                need = best_length(np.array([x["f"] for x in shared], np.int64), spare)
+                # Lists are dearest among sets of one size, so the length is chosen for those.
+                alike = max(0, n - -(-2 * percent * n // (100 + percent)) - alone)
+                need = best_length(np.array([x["f"] for x in shared], np.int64), alike)
                 values = (doc_id, n, most, [x["token"] for x in shared], min(spare + need, len(shared)), need, alone / n)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
@@ -166,8 +168,14 @@ class _Join:
 
     def __init__(self, prefixes: DataFrame, store: Store, percent: int):
         self.store, self.percent, self.docs = store, percent, prefixes
-        token = F.explode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("token")
-        self.lists = store.save(prefixes.select("doc_id", "n", "most", "need", "alone", token), "lists")
+        token = F.posexplode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("at", "token")
+        lists = prefixes.select("doc_id", "n", "most", "need", "alone", F.size("tokens").alias("shared"), token)
+        # A token at this place is in the prefix only for partners so small that what comes after
+        # it is enough to share.
+        after = F.col("shared") - F.col("at") - 1 + F.col("need")
+        most = F.least("most", F.floor(after * (100 + percent) / percent).cast("long") - F.col("n"))
+        lists = lists.withColumn("most", most).filter(F.col("most") * 100 >= F.col("n") * percent)
+        self.lists = store.save(lists.drop("at", "shared"), "lists")
         self.edges = prefixes.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
         self.roots = components(self.edges, store)
 
@@ -209,10 +217,10 @@ class _Join:
     def by_counts(self) -> None:
         """All pairs of different components that share as many prefix tokens as either asks for.
 
-        Of two similar sets the smaller can be as large as the other one, so lists are kept by
-        size class and hold only sets that could have a partner of their own size; those look
-        for larger ones, the others for smaller ones. Entries of a list's largest component meet
-        only those of others."""
+        Of two similar sets the smaller could have a partner of its own size, so lists are kept by
+        size class and hold only entries that allow one; those look for larger partners, the
+        others for smaller ones. Entries of a list's largest component meet only those of
+        others."""
         mixed = self.mixed()
         sizes = mixed.groupBy("token", "root").count()
         main = self.store.save(sizes.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
