@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from vulnspark.functions import text
 from vulnspark.operators import calibrate, classifier, dashboard, evaluate, localize, splits
 from vulnspark.sources import archives, corpus, findings, reports
 from vulnspark.taxonomy import CWE_LABEL, LABELS, REMEDIATION, RULE_LABEL, SEVERITY, label_from_cwe
@@ -220,6 +222,32 @@ def test_damaged_and_encrypted_archives_are_refused_alone(spark):
     assert plan.count("MapInArrow") == 1 and plan.count("MapInPandas") == 1 and "Exchange" not in plan
 
 
+# --- limits that are gone ---
+
+
+def test_running_totals_over_two_million_elements(spark):
+    n = 2**21 + 5
+    sums = text.prefix_sums(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: i * 0 + 1))
+    row = spark.createDataFrame([(n,)], "n long").select(F.element_at(sums, -1).alias("last"), F.size(sums).alias("size")).first()
+    assert (row.last, row.size) == (n, n)
+
+
+def test_unknown_class_id_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 7), (0, 0)], "y_true int, y_pred int")
+    with pytest.raises(Exception, match="no such class id: 0 7"):
+        evaluate.confusion_matrix(rows).collect()
+
+
+def test_temperature_beyond_the_first_grid(spark):
+    rows = [([400.0 if k == i % 7 else 0.0 for k in range(7)], (i % 7 if i % 5 else (i + 1) % 7)) for i in range(200)]
+    found = calibrate.fit_temperature_refined(spark.createDataFrame(rows, "logits array<double>, y_true int"))
+    # Four of five rows are right: e^(400/T) / (e^(400/T) + 6) is 0.8.
+    assert abs(found - 400 / math.log(24)) < 0.1
+    same = spark.createDataFrame([([1.0] + [0.0] * 6, 0)], "logits array<double>, y_true int")
+    with pytest.raises(ValueError, match="no temperature"):
+        calibrate.fit_temperature_refined(same)
+
+
 # --- splits ---
 
 

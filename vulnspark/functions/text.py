@@ -44,8 +44,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# Doubling steps cover arrays of up to 2**21 elements, far above a source file's 2 MiB.
-_STEPS = [2**k for k in range(21)]
+def _doubling_steps(values: Column) -> Column:
+    """1, 2, 4, ... up to at least half the array's size, however large it is."""
+    last = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.pow(F.lit(2.0), k).cast("int"))
 
 
 def prefix_sums(values: Column) -> Column:
@@ -58,12 +60,12 @@ def prefix_sums(values: Column) -> Column:
         summed = F.transform(v, lambda x, i: x + F.coalesce(F.get(v, i - step), F.lit(0)))
         return F.when(F.size(v) <= step, v).otherwise(summed)
 
-    return F.aggregate(F.lit(_STEPS), values, reach)
+    return let(values, lambda own: F.aggregate(_doubling_steps(own), own, reach))
 
 
 def probe_steps(ascending: Column) -> Column:
     """The steps `last_at_most` takes over this array, largest first."""
-    return F.filter(F.lit(_STEPS[::-1]), lambda step: step < F.size(ascending))
+    return F.filter(F.reverse(_doubling_steps(ascending)), lambda step: step < F.size(ascending))
 
 
 def last_at_most(ascending: Column, steps: Column, value: Column) -> Column:
@@ -117,17 +119,20 @@ def split_lines_keep(text: Column) -> Column:
 
 def char_entropy(text: Column) -> Column:
     """Shannon entropy in bits per character; 0 for empty text."""
-    def entropy(t: Column) -> Column:
-        seen = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
-        size = F.length(t)
 
-        def add(total, char):
-            share = (size - F.length(F.replace(t, char, F.lit("")))) / size
-            return total - share * F.log2(share)
+    def entropy(chars: Column) -> Column:
+        # Sorted, equal characters are runs; a run's length is the distance of its end to the last one's.
+        n = F.size(chars)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.get(chars, i).eqNullSafe(F.get(chars, i - 1)))
 
-        return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(seen, F.lit(0.0), add))
+        def total(at: Column) -> Column:
+            share = F.transform(at, lambda end, i: (end - F.coalesce(F.get(at, i - 1), F.lit(0))) / n)
+            return F.aggregate(share, F.lit(0.0), lambda sum_, p: sum_ - p * F.log2(p))
 
-    return let(text, entropy)
+        return F.when(n == 0, F.lit(0.0)).otherwise(let(ends, total))
+
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.when(text.isNull(), F.lit(None).cast("double")).otherwise(let(chars, entropy))
 
 
 def alnum_share(text: Column) -> Column:

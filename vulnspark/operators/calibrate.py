@@ -107,14 +107,24 @@ def fit_temperature(rows: DataFrame, grid: list[float] | None = None) -> DataFra
     )
 
 
-def fit_temperature_refined(rows: DataFrame, rounds: int = 4) -> float:
-    """Repeat the grid pass around the minimum until its step is far below 1e-4."""
+def fit_temperature_refined(rows: DataFrame, rounds: int = 4, widest: float = 1e6) -> float:
+    """Repeat the grid pass around the minimum until its step is far below 1e-4.
+
+    A minimum at an edge of the first grid widens that side until it lies inside. Losses that
+    still fall at `widest` (or its inverse) have no minimum, which is an error."""
     low, high, points = 0.05, 20.0, 24
-    best = 1.0
-    for _ in range(rounds):
+    best = fit_temperature(rows, temperature_grid(low, high, points)).first()["temperature"]
+    while best is not None and (best <= low * 1.0001 or best >= high / 1.0001):
+        if max(high, 1 / low) >= widest:
+            raise ValueError(f"no temperature between {low:g} and {high:g} is the best one")
+        low, high = (low / 20, low * 2) if best <= low * 1.0001 else (high / 2, high * 20)
         best = fit_temperature(rows, temperature_grid(low, high, points)).first()["temperature"]
+    if best is None:
+        raise ValueError("no rows to fit a temperature on")
+    for _ in range(rounds - 1):
         width = (high / low) ** (1 / (points - 1))
         low, high = best / width, best * width
+        best = fit_temperature(rows, temperature_grid(low, high, points)).first()["temperature"]
     return best
 
 

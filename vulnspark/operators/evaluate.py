@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vulnspark.taxonomy import LABELS, NUM_LABELS, label_name
+from vulnspark.taxonomy import LABELS, NUM_LABELS
 
 CLASSES = range(NUM_LABELS)
 
@@ -23,7 +23,10 @@ def _matrices(predictions: DataFrame, by: list[str]) -> DataFrame:
     """One row per group with its confusion counts as an array `cm`, row-major."""
     cells = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
     # At most 49 entries a group, so collecting them is bounded.
-    entry = F.struct((F.col("y_true") * NUM_LABELS + F.col("y_pred")).alias("at"), "n")
+    known = F.col("y_true").between(0, NUM_LABELS - 1) & F.col("y_pred").between(0, NUM_LABELS - 1)
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("no such class id:"), "y_true", "y_pred")).cast("int")
+    at = F.when(known, F.col("y_true") * NUM_LABELS + F.col("y_pred")).otherwise(unknown)
+    entry = F.struct(at.cast("int").alias("at"), "n")
     counts = F.map_from_entries(F.collect_list(entry))
     dense = F.transform(
         F.lit(list(range(NUM_LABELS**2))),
@@ -145,9 +148,3 @@ def benchmark_table(
 def align(predictions: DataFrame, truth: DataFrame, key: str = "record_id") -> DataFrame:
     """Predictions with their true class, matched by record id and never by position."""
     return predictions.join(truth.select(key, "y_true"), key)
-
-
-def with_label_names(scored: DataFrame) -> DataFrame:
-    return scored.withColumns(
-        {"true_label": label_name(F.col("y_true")), "pred_label": label_name(F.col("y_pred"))}
-    )

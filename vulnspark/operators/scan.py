@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from vulnspark.functions.probability import argmax, class_map, softmax, vulnerable_mass
 from vulnspark.functions.text import let, snippet
 from vulnspark.operators.arrow import VECTOR, append_column, list_array
-from vulnspark.operators.chunks import ALL, chunk_files, with_windows
+from vulnspark.operators.chunks import with_windows
 from vulnspark.operators.dashboard import first_per_location
 from vulnspark.operators.localize import anchor_line, attribute_lines
 from vulnspark.schemas import LINE_SCORES
@@ -134,12 +134,6 @@ def emit_findings(
     return first_per_location(reportable(predictions, min_confidence), order)
 
 
-def scan_chunks(
-    files: DataFrame, scope: str = ALL, keys: tuple[str, ...] = ("scan_id", "file_path")
-) -> DataFrame:
-    return chunk_files(files, list(keys), scope)
-
-
 def predict_chunks(
     chunks: DataFrame, load: Callable[[], Scorer], temperature: float = 1.0, **windows
 ) -> DataFrame:

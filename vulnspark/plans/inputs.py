@@ -7,8 +7,9 @@ derivations in SQL.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -332,28 +333,52 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _zip_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        blobs = []
-        for page, html in zip(batch.page_id, batch.html):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(f"src/page_{page}.py", html)
-                archive.writestr("README.md", f"page {page}")
-            blobs.append(buffer.getvalue())
-        yield pd.DataFrame(
-            {
-                "archive": [f"page_{p}.zip" for p in batch.page_id],
-                "upload_bytes": [len(b) for b in blobs],
-                "content": blobs,
-            }
-        )
+def _zip_pages(members: Callable[[int, str], dict[str, str | bytes]], damaged: Callable[[int], bool] = lambda page: False):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            blobs = []
+            for page, html in zip(batch.page_id, batch.html):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for name, data in members(page, html).items():
+                        archive.writestr(name, data)
+                blob = bytearray(buffer.getvalue())
+                if damaged(page):  # another checksum in the first entry of the directory
+                    blob[blob.index(b"PK\x01\x02") + 16] ^= 0xFF
+                blobs.append(bytes(blob))
+            yield pd.DataFrame(
+                {
+                    "archive": [f"page_{p}.zip" for p in batch.page_id],
+                    "upload_bytes": [len(b) for b in blobs],
+                    "content": blobs,
+                }
+            )
+
+    return run
 
 
 def zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A zip per page, in the shape of the binary file source."""
+    members = lambda page, html: {f"src/page_{page}.py": html, "README.md": f"page {page}"}
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.mapInPandas(_zip_pages, "archive string, upload_bytes bigint, content binary")
+    return pages.mapInPandas(_zip_pages(members), "archive string, upload_bytes bigint, content binary")
+
+
+def mixed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zip per page whose source, by page_id % 5, is a comment, no Python, not UTF-8, damaged,
+    or not there; each also has a copy in a folder that is skipped."""
+
+    def members(page: int, html: str) -> dict[str, str | bytes]:
+        case = page % 5
+        text = "# " + re.sub(r"[^\w ]", " ", html) + "\n" if case == 0 else f"<{html}" if case == 1 else "x = 1\n"
+        source = b"# \xff\xfe\n" if case == 2 else text
+        own = {} if case == 4 else {f"src/page_{page}.py": source}
+        return {**own, f"node_modules/page_{page}.py": "x = 1\n"}
+
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.mapInPandas(
+        _zip_pages(members, lambda page: page % 5 == 3), "archive string, upload_bytes bigint, content binary"
+    )
 
 
 def cwe_report(spark: SparkSession, sf_dir: str) -> DataFrame:

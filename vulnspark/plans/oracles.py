@@ -578,6 +578,11 @@ UNION ALL SELECT 'page_' || page_id || '.zip', 'zip', 1, 'README.md', 'file', st
 ORACLES["archive_sources"] = """SELECT 'page_' || page_id || '.zip' AS archive,
        'src/page_' || page_id || '.py' AS file_path, sha256(html) AS digest FROM pages
 -- a page that packs over 100 to 1 is refused; none of the test pages does"""
+ORACLES["skipped_files"] = """WITH p AS (SELECT page_id % 5 AS k, 'page_' || page_id AS name FROM pages)
+SELECT name || '.zip' AS archive, 'src/' || name || '.py' AS file_path,
+       CASE k WHEN 1 THEN 'unparsable' ELSE 'not_utf8' END AS reason FROM p WHERE k IN (1, 2)
+UNION ALL SELECT name || '.zip', NULL, CASE k WHEN 3 THEN 'unreadable' ELSE 'no_python_files' END FROM p WHERE k IN (3, 4)
+UNION ALL SELECT name || '.zip', 'node_modules/' || name || '.py', 'skipped_folder' FROM p WHERE k < 3"""
 ORACLES["archive_verdict"] = sql("SELECT * FROM verdicts", "verdicts")
 ORACLES["source_select"] = sql(
     f"""SELECT archive, name, size, member_index,
@@ -972,8 +977,8 @@ ORACLES["list_scans"] = sql(
     "scans",
 )
 ORACLES["owned_finding"] = sql(
-    """SELECT id, scan_id, severity FROM findings f WHERE id = (SELECT min(id) FROM findings g WHERE g.scan_id = f.scan_id)
-       AND scan_id IN (SELECT id FROM scans WHERE user_id = 3)""",
+    """SELECT CAST(user_id AS INT) AS user_id, f.id, scan_id, severity FROM findings f JOIN scans s ON s.id = f.scan_id
+    WHERE f.id = (SELECT min(id) FROM findings) AND user_id BETWEEN 0 AND 6""",
     "findings",
     "scans",
 )

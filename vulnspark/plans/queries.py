@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from vulnspark.operators import (
     labeling,
     localize,
     scan,
+    source,
     splits,
 )
 from vulnspark.plans import inputs
@@ -103,6 +105,14 @@ def archive_sources(spark, sf):
     return sources.select("archive", "file_path", F.sha2("content", 256).alias("digest"))
 
 
+@query
+def skipped_files(spark, sf):
+    read = archives.read_members(inputs.mixed_archives(spark, sf))
+    left = read.filter("reason IS NOT NULL").drop("content")
+    parsed = source.parse_files(read.filter("reason IS NULL"), ["archive", "file_path"], source.FUNCTIONS)
+    return left.unionByName(source.unparsable_files(parsed, ["archive", "file_path"]))
+
+
 @query
 def archive_verdict(spark, sf):
     return archives.archive_verdicts(inputs.archive_members(spark, sf))
@@ -623,11 +633,10 @@ def list_scans(spark, sf):
 @query
 def owned_finding(spark, sf):
     rows, owners = inputs.findings(spark, sf), inputs.scans(spark, sf)
-    # Two findings, one owned by the user and one not; only the first may be seen.
-    seen = rows.groupBy("scan_id").agg(F.min("id").alias("id"))
-    wanted = rows.join(seen, ["scan_id", "id"], "left_semi")
-    own = dashboard.owned_findings(wanted, owners, 3)
-    return own.select("id", "scan_id", "severity")
+    # The smallest id is looked up for every user; only the owner of its scan sees it.
+    first = rows.agg(F.min("id").alias("id")).first()["id"]
+    seen = [dashboard.owned_finding(rows, owners, user, first).withColumn("user_id", F.lit(user)) for user in range(7)]
+    return reduce(DataFrame.unionByName, seen).select("user_id", "id", "scan_id", "severity")
 
 
 @query
