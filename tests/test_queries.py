@@ -73,9 +73,11 @@ def test_stream_in_several_batches_equals_batch(spark, folder):
     keys = list(dashboard.FINDING_LOCATION)
     unique = jobs.stream_dedup(arriving(), work_folder(spark))
     assert unique.count() == found.select(keys).distinct().count() == unique.select(keys).distinct().count()
-    live = jobs.stream_summary(arriving(), work_folder(spark))
     batch = dashboard.summary_by_severity(found)
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.select(live.columns).collect()))
+    # With the log folded after every second batch, and never.
+    for fold in (2, 50):
+        live = jobs.stream_summary(arriving(), work_folder(spark), fold)
+        assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.select(live.columns).collect()))
 
 
 def test_watermarked_dedup_and_restart(spark, folder):

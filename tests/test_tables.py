@@ -405,7 +405,7 @@ def test_dashboard_hides_dismissed_and_foreign(spark):
         dashboard.list_findings(found, scans, "u", "s", limit=1001)
     (top,) = dashboard.summary_by_file(found).collect()
     assert (top.file_path, top["count"], top.highest_severity) == ("f", 2, "CRITICAL")
-    totals = {r.scan_id: (r.total_findings, r.mean_confidence) for r in dashboard.summary_totals(found).collect()}
+    totals = {r.scan_id: (r.total_findings, r.mean_confidence) for r in dashboard.summary_totals(found, found.select(F.col("scan_id").alias("id")).distinct()).collect()}
     assert totals["s"] == (2, pytest.approx(0.8)) and totals["t"] == (0, None)
     assert dashboard.summary_by_severity(found).orderBy(F.desc("rank")).first().severity == "CRITICAL"
     advice = {r.id: r.remediation for r in dashboard.with_remediation(found.withColumn("vulnerability_type", F.when(F.col("id") == "1", "GONE").otherwise(F.col("vulnerability_type")))).collect()}

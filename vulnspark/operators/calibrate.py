@@ -132,18 +132,18 @@ def calibration_transfer(
     rows: DataFrame, temperature: float, by: str = "set_name", gap_over: float = 0.1
 ) -> DataFrame:
     """Does a fitted temperature carry over to each test set? `rows`: by, logits, y_true."""
-    after = scored(rows, temperature)
-    before = scored(rows, 1.0)
-    ece_before = expected_calibration_error(before, [by]).select(
-        by, F.col("ece").alias("ece_before")
-    )
-    ece_after = expected_calibration_error(after, [by]).select(by, F.col("ece").alias("ece_after"))
-    means = after.groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.avg((argmax(F.col("logits")) == F.col("y_true")).cast("double")).alias("accuracy"),
-        F.avg("confidence").alias("mean_confidence"),
-    )
-    gap = F.col("mean_confidence") - F.col("accuracy")
-    return (
-        means.join(ece_before, by).join(ece_after, by).withColumn("overconfident", gap > gap_over)
+    # Both temperatures in one pass: every row is binned once under each of them.
+    both = rows.withColumn("fitted", F.explode(F.array(F.lit(False), F.lit(True))))
+    at = F.when(F.col("fitted"), F.lit(float(temperature))).otherwise(F.lit(1.0))
+    cells = _binned(scored(both, at), [by, "fitted"], BINS)
+    gap = F.when(F.col("bin") > 0, F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))).otherwise(0.0)
+    of = lambda fitted, value: F.sum(F.when(F.col("fitted") == fitted, value))
+    n = of(True, F.col("n"))
+    sets = cells.groupBy(by).agg(
+        n.alias("n"),
+        (of(True, F.col("n") * F.col("accuracy")) / n).alias("accuracy"),
+        (of(True, F.col("n") * F.col("mean_confidence")) / n).alias("mean_confidence"),
+        (of(False, gap) / n).alias("ece_before"),
+        (of(True, gap) / n).alias("ece_after"),
     )
+    return sets.withColumn("overconfident", F.col("mean_confidence") - F.col("accuracy") > gap_over)

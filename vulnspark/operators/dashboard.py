@@ -54,19 +54,26 @@ def summary_by_file(findings: DataFrame, top: int = 50) -> DataFrame:
     return files.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def summary_totals(findings: DataFrame) -> DataFrame:
-    """Active findings and mean confidence per scan; scans without any keep a null mean."""
-    live = ~F.col("dismissed")
-    return findings.groupBy("scan_id").agg(
-        F.count_if(live).alias("total_findings"),
-        F.avg(F.when(live, F.col("confidence"))).alias("mean_confidence"),
+def _of_every_scan(scans: DataFrame, summary: DataFrame) -> DataFrame:
+    """The summary joined to all scans (`id`); a scan without rows in it keeps nulls."""
+    return scans.select(F.col("id").alias("scan_id")).join(summary, "scan_id", "left")
+
+
+def summary_totals(findings: DataFrame, scans: DataFrame) -> DataFrame:
+    """Active findings and mean confidence of every scan; without any, 0 and a null mean."""
+    totals = active(findings).groupBy("scan_id").agg(
+        F.count("*").alias("total_findings"), F.avg("confidence").alias("mean_confidence")
+    )
+    return _of_every_scan(scans, totals).select(
+        "scan_id", F.coalesce("total_findings", F.lit(0)).alias("total_findings"), "mean_confidence"
     )
 
 
-def dashboard_summary(findings: DataFrame) -> DataFrame:
+def dashboard_summary(findings: DataFrame, scans: DataFrame, top: int = 50) -> DataFrame:
     """All summaries of every scan in one pass: (scan_id, section, key, count, ...).
 
-    Sections: total, severity, type, file. Ranking of files is left to the reader.
+    Sections: total (of scans without findings too), severity, type, and file with the `top`
+    files of most findings. The rank filter is applied before its shuffle as well.
     """
     rank = severity_rank(F.col("severity"))
     scan, severity, kind, path = map(
@@ -94,25 +101,28 @@ def dashboard_summary(findings: DataFrame) -> DataFrame:
         .otherwise("total")
     )
     key = F.coalesce("severity", "vulnerability_type", "file_path", F.lit(""))
-    return grouped.select(
-        "scan_id",
-        section.alias("section"),
-        key.alias("key"),
-        "count",
-        "mean_confidence",
-        "highest_severity",
-    )
-
-
-def scan_counters(files: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files, chunks and findings per scan. Each side is aggregated before the join."""
+    columns = ["scan_id", "section", "key", "count", "mean_confidence", "highest_severity"]
+    found = grouped.withColumns({"section": section, "key": key}).select(*columns)
+    largest = W.partitionBy("scan_id", "section").orderBy(F.col("count").desc(), F.col("key"))
+    # Totals, severities and types are fewer than any useful `top`.
+    kept = found.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= top).drop("_place")
+    without = scans.select(F.col("id").alias("scan_id")).join(active(findings), "scan_id", "left_anti")
+    empty = without.select(
+        "scan_id", F.lit("total").alias("section"), F.lit("").alias("key"), F.lit(0).cast("bigint").alias("count"),
+        F.lit(None).cast("double").alias("mean_confidence"), F.lit(None).cast("string").alias("highest_severity"),
+    )
+    return kept.unionByName(empty)
+
+
+def scan_counters(scans: DataFrame, files: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:
+    """Files, chunks and findings of every scan. Each side is aggregated before the join."""
     n = lambda df, name: df.groupBy("scan_id").agg(F.count("*").alias(name))
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return (
-        n(files, "files_scanned")
+        _of_every_scan(scans, n(files, "files_scanned"))
         .join(n(chunks, "functions_scanned"), "scan_id", "left")
         .join(n(findings, "findings_count"), "scan_id", "left")
-        .select("scan_id", "files_scanned", zero("functions_scanned"), zero("findings_count"))
+        .select("scan_id", zero("files_scanned"), zero("functions_scanned"), zero("findings_count"))
     )
 
 

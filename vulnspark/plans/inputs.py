@@ -90,9 +90,10 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted temperatures of models m0 and m1; m2 was never calibrated."""
-    supplier = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 3 < 2)
-    return supplier.groupBy(lit_concat("m", F.col("s_suppkey") % 3).alias("model_version")).agg(
+    """Fitted temperatures of models m0, m1 and m9; m2 was never calibrated, m9 made no scan."""
+    group = F.col("s_suppkey") % 3
+    model = lit_concat("m", F.when(group == 2, F.lit(9)).otherwise(group)).alias("model_version")
+    return table(spark, sf_dir, "supplier").groupBy(model).agg(
         F.round(F.avg(F.abs("s_acctbal")) / 4000, 4).alias("temperature")
     )
 
@@ -183,6 +184,11 @@ def corpus_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from(docs).drop("code", "end_line")
 
 
+def every_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of sixty scans, of which the last ten have no findings."""
+    return table(spark, sf_dir, "orders").select(lit_concat("s", F.col("o_orderkey") % 60).alias("id")).distinct()
+
+
 # --- chunks, hits, token scores ---
 
 

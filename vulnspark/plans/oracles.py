@@ -599,7 +599,7 @@ ORACLES["mining_select"] = sql(
 ORACLES["calibration_lookup"] = sql(
     """SELECT s.id, s.model_version, coalesce(t, 1.0) AS temperature, coalesce(t, 1.0) <> 1.0 AS calibrated
     FROM scans s LEFT JOIN (SELECT 'm' || (s_suppkey % 3) AS m, round(avg(abs(s_acctbal)) / 4000, 4) AS t
-                            FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY 1) ON m = s.model_version""",
+                            FROM supplier GROUP BY 1) ON m = s.model_version AND m <> 'm2'""",
     "scans",
 )
 
@@ -780,7 +780,8 @@ def stats_sql(source: str) -> str:
 ORACLES["corpus_stats"] = sql(stats_sql("split"), "split")
 ORACLES["class_weights"] = sql(
     f""", c AS (SELECT k AS label_id, {texts(LABELS)}[k + 1] AS label,
-        (SELECT count(*) FROM corpus WHERE doc_id % 7 <> 2 AND vulnerability_type = {texts(LABELS)}[k + 1]) AS n
+        (SELECT count(*) FROM corpus
+            WHERE CASE doc_id % 7 WHEN 2 THEN 'SAFE' ELSE vulnerability_type END = {texts(LABELS)}[k + 1]) AS n
         FROM range({N}) r(k)),
     w AS (SELECT *, CASE WHEN n > 0 THEN (SELECT sum(n) FROM c) / ({N} * n) ELSE 0.0 END AS raw FROM c)
     SELECT CAST(label_id AS INT) AS label_id, label, n,
@@ -942,21 +943,27 @@ ORACLES["summary_by_file"] = sql(
           FROM findings WHERE NOT dismissed GROUP BY 1, 2)) WHERE rank <= 50""",
     "findings",
 )
+cte("every_scan", "SELECT DISTINCT 's' || (o_orderkey % 60) AS scan_id FROM orders")
 ORACLES["summary_totals"] = sql(
-    """SELECT scan_id, count(*) FILTER (WHERE NOT dismissed) AS total_findings,
-       round(avg(confidence) FILTER (WHERE NOT dismissed), 6) AS mean_confidence FROM findings GROUP BY 1""",
+    """SELECT e.scan_id, count(f.id) AS total_findings, round(avg(confidence), 6) AS mean_confidence
+    FROM every_scan e LEFT JOIN findings f ON f.scan_id = e.scan_id AND NOT dismissed GROUP BY 1""",
     "findings",
+    "every_scan",
 )
 ORACLES["dashboard_summary"] = sql(
     " UNION ALL ".join(
         f"""SELECT scan_id, '{section}' AS section, {key} AS key, count(*) AS count,
         round(avg(confidence), 6) AS mean_confidence, {WORST} AS highest_severity
-        FROM findings WHERE NOT dismissed GROUP BY scan_id, {key}"""
+        FROM findings WHERE NOT dismissed GROUP BY scan_id, {key}
+        QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY count(*) DESC, {key}) <= 50"""
         for section, key in (
             ("total", "''"), ("severity", "severity"), ("type", "vulnerability_type"), ("file", "file_path"),
         )
-    ),
+    )
+    + """ UNION ALL SELECT scan_id, 'total', '', 0, NULL, NULL FROM every_scan
+        WHERE scan_id NOT IN (SELECT scan_id FROM findings WHERE NOT dismissed)""",
     "findings",
+    "every_scan",
 )
 ORACLES["list_findings"] = sql(
     """SELECT f.id, scan_id, file_path, severity, vulnerability_type, confidence
@@ -994,11 +1001,14 @@ ORACLES["taxonomy"] = sql(
     "findings",
 )
 ORACLES["scan_counters"] = sql(
-    """SELECT scan_id, files_scanned, coalesce(c, 0) AS functions_scanned, coalesce(f, 0) AS findings_count
-    FROM (SELECT 's' || (o_orderkey % 60) AS scan_id, count(*) AS files_scanned FROM orders GROUP BY 1)
+    """SELECT scan_id, coalesce(n, 0) AS files_scanned, coalesce(c, 0) AS functions_scanned,
+       coalesce(f, 0) AS findings_count
+    FROM every_scan
+    LEFT JOIN (SELECT 's' || (o_orderkey % 50) AS scan_id, count(*) AS n FROM orders GROUP BY 1) USING (scan_id)
     LEFT JOIN (SELECT 's' || (l_orderkey % 60) AS scan_id, count(*) AS c FROM lineitem GROUP BY 1) USING (scan_id)
     LEFT JOIN (SELECT scan_id, count(*) AS f FROM findings WHERE confidence >= 0.9 GROUP BY 1) USING (scan_id)""",
     "findings",
+    "every_scan",
 )
 ORACLES["apply_dismissals"] = """WITH d AS (SELECT user_id, arg_max(props, struct_pack(ts := ts, e := event_id)) AS reason
     FROM events WHERE event_type = 'error' GROUP BY 1)

@@ -58,7 +58,7 @@ def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists")
 
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON file for a report of few rows (build, benchmark, calibration, training)."""
-    report.coalesce(1).write.json(path)
+    report.repartition(1).write.json(path)
 
 
 def with_temperature(rows: DataFrame, calibrations: DataFrame) -> DataFrame:

@@ -60,21 +60,38 @@ def stream_dedup(findings: DataFrame, folder: str, within: str | None = None) ->
     return findings.sparkSession.read.schema(unique.schema).parquet(f"{folder}/unique")
 
 
-def stream_summary(findings: DataFrame, folder: str) -> DataFrame:
+def stream_summary(findings: DataFrame, folder: str, fold: int = 50) -> DataFrame:
     """Running finding counts by scan and severity.
 
-    The stream appends changed counts to a log; the latest entry of each key is current.
+    The stream appends changed counts to a log; the latest entry of each key is current. Every
+    `fold` batches the log is folded into the newest batch, so a read never takes in more.
     """
     counts = (
         findings.filter(~F.col("dismissed"))
         .groupBy("scan_id", "severity")
         .agg(F.count("*").alias("count"))
     )
+    spark, place = findings.sparkSession, f"{folder}/counts"
 
     def log(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        target = f"{place}/batch={number}"
+        if number == 0 or (number + 1) % fold:
+            changed.write.mode("overwrite").parquet(target)
+            return
+        earlier = spark.read.parquet(place).filter(F.col("batch") < number)
+        every = earlier.unionByName(changed.withColumn("batch", F.lit(number)))
+        latest_counts(every).write.mode("overwrite").parquet(target)
+        # The folded batch holds the latest entry of every key, so the older ones say nothing more.
+        root = spark._jvm.org.apache.hadoop.fs.Path(place)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for entry in files.listStatus(root):
+            name = entry.getPath().getName()
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) < number:
+                files.delete(entry.getPath(), True)
 
     _drain(counts.writeStream.outputMode("update").foreachBatch(log), folder, "counts")
-    history = findings.sparkSession.read.parquet(f"{folder}/counts")
-    latest = history.groupBy("scan_id", "severity").agg(F.max_by("count", "batch").alias("count"))
-    return latest.withColumn("rank", severity_rank(F.col("severity")))
+    return latest_counts(spark.read.parquet(place)).withColumn("rank", severity_rank(F.col("severity")))
+
+
+def latest_counts(history: DataFrame) -> DataFrame:
+    return history.groupBy("scan_id", "severity").agg(F.max_by("count", "batch").alias("count"))
