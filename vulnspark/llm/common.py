@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,19 @@ def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` bytes of text (one row at least), so that what a step
+    makes of a piece stays small beside the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class Memo(dict):
     """Values by key, computed once by `make`; forgotten together at `limit` entries."""
 

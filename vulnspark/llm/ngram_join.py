@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import Memo, Store, longs, rows, text_of
+from vulnspark.llm.common import Memo, Store, longs, rows, slices, text_of
 from vulnspark.llm.sieve import rolling
 
 N = 5
@@ -77,7 +77,7 @@ def _tokens(n: int, take):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in batches:
+        for batch in slices(batches):
             found, sizes = [np.empty(0, np.uint64)], []
             for _, text in rows(batch):
                 own = shingles(text)
