@@ -163,7 +163,8 @@ def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
     given = [{"family": family, "text": text} for family, texts in NOTICES.items() for text in texts]
     given += [{"family": UNKNOWN, "text": text} for text in OTHERS]
     rows = _literal(given, "array<struct<family:string,text:string>>")
-    base = spark.range(1).select(F.inline(rows)).crossJoin(spark.range(VARIANTS).withColumnRenamed("id", "form"))
+    forms = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(VARIANTS - 1).cast("long"))).alias("form")
+    base = spark.range(1).select(F.inline(rows)).select("family", "text", forms)
     lost = lambda w, i: (F.col("form") > 0) & (F.pmod(F.xxhash64(w, i, "form"), F.lit(8)) == 0)
     thinned = base.select(
         "family", (F.col("form") % 5 == 4).alias("held_out"), F.array_join(F.filter(F.split("text", " "), lambda w, i: ~lost(w, i)), " ").alias("paragraph")
