@@ -78,4 +78,6 @@ def repeated_marks(marks: DataFrame, store: Store) -> DataFrame:
     # Saved, so that the join has a plain exchange on either side and large keys can be split.
     often = store.save(own.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "often")
     found = own.join(often, "mark")
-    return store.save(found.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "repeated")
+    lists = store.save(found.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "repeated")
+    store.drop(own, often)
+    return lists
