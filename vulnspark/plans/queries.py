@@ -765,7 +765,7 @@ def scan_findings(spark, sf):
 @query
 def minhash_sig(spark, sf):
     docs = inputs.documents(spark, sf).select("doc_id", "text")
-    sigs = dedup.with_signature(docs, "text", num_perm=16)
+    sigs = dedup.with_signature(docs, "text", num_perm=16, mode=dedup.SHA1)
     cells = sigs.select("doc_id", F.posexplode("signature").alias("i", "value"))
     # Unsigned values as 16 hex digits.
     return cells.select("doc_id", "i", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("value"))
@@ -789,15 +789,15 @@ def dedup_kept(spark, sf):
 
 @query
 def dedup_kept_fast(spark, sf):
-    """Full size with vectorized hashing, for corpora where published values do not matter."""
-    kept, _ = dedup.deduplicate(inputs.corpus(spark, sf), "doc_id", mode=dedup.FAST)
+    """The default parameters: 128 hashes, 16 bands, vectorized hashing."""
+    kept, _ = dedup.deduplicate(inputs.corpus(spark, sf), "doc_id")
     return kept.select("doc_id", "is_synthetic")
 
 
 @query
 def dedup_kept_full(spark, sf):
-    """The default parameters: 128 hashes, 16 bands, published hash values."""
-    kept, _ = dedup.deduplicate(inputs.corpus(spark, sf), "doc_id")
+    """Full size with published hash values: 128 hashes, 16 bands."""
+    kept, _ = dedup.deduplicate(inputs.corpus(spark, sf), "doc_id", mode=dedup.SHA1)
     return kept.select("doc_id", "is_synthetic")
 
 
