@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnspark import schemas
@@ -16,9 +16,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def write_corpus(records: DataFrame, path: str) -> int:
     """JSON lines; returns how many were written (line breaks inside text are escaped)."""
-    seen = Observation("written")
-    records.observe(seen, F.count(F.lit(1)).alias("n")).write.json(path)
-    return seen.get["n"]
+    records.write.json(path)
+    # Counted from the output: an Observation stays with the session, and tasks of later ML models
+    # that take the session along can then not be serialized.
+    return records.sparkSession.read.text(path).count()
 
 
 def write_splits(records: DataFrame, path: str) -> None:
