@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import Store, longs, rows, text_of
+from vulnspark.llm.common import Store, longs, rows, slices, text_of
 from vulnspark.llm.sieve import changes, minimizers, repeated_marks, rolling
 
 LENGTH = 200
@@ -164,7 +164,7 @@ def _signed(x: int) -> int:
 
 def _marks(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             marks, sizes = [np.empty(0, np.uint64)], []
             for _, text in rows(batch):
                 places, grams = _marked(text.encode(), length, gram)
@@ -188,7 +188,7 @@ def _segments(length: int, gram: int):
     names = ["mark", "d1", "d2", "doc_id", "start", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             for doc_id, text, marks in rows(batch):
                 data = text.encode()
