@@ -70,6 +70,27 @@ def test_hot_group_without_leaders(spark, monkeypatch):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_truncated_copies_of_many_lengths(spark, monkeypatch, rounds):
+    """The tokens of a pair of different sizes are found from either side; they count together."""
+    monkeypatch.setattr(J, "LEADER_ROUNDS", rounds)
+    rng = random.Random(5)
+    texts = []
+    for size in range(60, 360, 6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        cut = int(size * rng.uniform(0.76, 0.88))
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[:cut]))
+        own = rng.randint(0, size - cut)  # the rest of the tail stands in a third document too
+        texts.append(" ".join(base[cut + own - 5 :] + [f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 10))]))
+        if rng.random() < 0.5:
+            texts.append(" ".join(base[: size // 2]))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_components(df).collect()}
+    assert got == brute(texts)
+
+
 def test_long_chain_of_components(spark, folder):
     from vulnspark.llm.common import Store
 
