@@ -108,6 +108,21 @@ def test_ids_equal_the_tokenizer():
         assert ids(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_ids_by_default_of_the_tokenizer(spark):
+    """Added tokens in a text are those tokens, and no run of white space ends a task."""
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  b<|endoftext|>\n\n<|endoftext|", "<|endoftext|><|endoftext|>", "plain it's  so\n"]
+    texts += ["x" + " " * 1_200_000 + "y", "x\n" + "\n" * 1_200_000 + "y z", "a" + " \t" * 6_000, "b" + "\n" * 9_999 + " c"]
+    tokenizer, ids = Tokenizer.from_file(BPE), P.Ids(BPE, encode_special_tokens=False)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256]
+    for t, w in zip(texts, want, strict=True):
+        assert ids(t) == np.array(w, "<u4").tobytes(), repr(t[:40])
+    got = P.pieces(table(spark, list(enumerate(texts))), BPE, size=2_000_000).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {
+        i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want)
+    }
+
+
 @pytest.mark.parametrize("group", [3, 4000])
 def test_pack(spark, group):
     rng = random.Random(4)

@@ -10,6 +10,7 @@ among the pieces of its length, which Spark counts in salted groups.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -31,6 +32,10 @@ GROUP = 4_000
 
 #: Splits words, numbers, signs and white space before merging; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on are left to `tokenizers`: the matcher of `tiktoken` keeps
+#: a place for each character of a run and ends the process at about a million.
+LONG_RUN = 10_000
+RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
@@ -49,20 +54,32 @@ class Ids:
     The pattern never joins characters across a single space between two that are no white
     space, so such words have the same ids alone, and frequent ones are encoded once. Merging
     with `tiktoken` over the file's vocabulary gives the same ids as `tokenizers` (tested) in
-    a third of the time."""
-
-    def __init__(self, tokenizer_path: str):
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+    a third of the time. Texts with long runs of white space are left to `tokenizers`, and so are
+    those that hold an added token, unless `encode_special_tokens` takes its characters as text
+    (as the setting of that name does there, where it is off by default)."""
+
+    def __init__(self, tokenizer_path: str, encode_special_tokens: bool = True):
+        self.tokenizer = tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.encode_special_tokens = encode_special_tokens
+        tokens = tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in tokens if not (t.special and encode_special_tokens)]
         ranks = byte_ranks(tokenizer.get_vocab(with_added_tokens=False))
         added = {t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()}
         ranks = {word: i for word, i in ranks.items() if word not in added}
         self.merger = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memo = Memo(lambda word: self.encode(" " + word), 400_000)
 
+    def slow(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and RUN.search(text):
+            return self.slow(text)
         return array("I", self.merger.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self.slow(text)
         if "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in WHITE):
             return self.encode(text)
         first, *words = text.split(" ")
@@ -73,7 +90,7 @@ def _cut(tokenizer_path: str, size: int, end: int):
     schema = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, last = Ids(tokenizer_path), np.array([end], "<u4").tobytes()
+        ids, last = Ids(tokenizer_path, encode_special_tokens=False), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc_id, text in rows(batch):
@@ -100,7 +117,8 @@ def pieces(
     size: int = SIZE,
     end: int = END,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32. A document is its ids and the id `end`; longer
+    """doc_id, piece, start, length, ids_crc32. A document is its ids, as the tokenizer gives them
+    by default (an added token in the text is that token), and the id `end`; longer
     ones than `size` are cut so that only the first piece is shorter."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
