@@ -300,6 +300,18 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert T.toxicity(table(spark, []), marks).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(i, 1) for i in range(30)], [(i, 0) for i in range(30)], [(i, i % 2) for i in range(30)]])
+def test_nothing_is_removed_where_nothing_is_learned(spark, labels):
+    """No labels, those of one class, and those no feature of the texts tells apart."""
+    rows = [(i, f"some muslims met on day {i // 2}") for i in range(40)] + [(None, None), (3, "")]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = T.remove_toxic(table(spark, rows), marks)
+    assert kept.columns == table(spark, rows).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows)
+    got = T.toxicity(table(spark, rows), marks).collect()
+    assert len(got) == len(rows) and all(r.score == 0.5 and r.predicted == 0 for r in got)
+
+
 # pages
 
 

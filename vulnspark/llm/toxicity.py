@@ -76,8 +76,15 @@ def swapped(text: str) -> list[tuple[set[str], set[str]]]:
 
 @dataclass
 class Model:
+    """An untrained model scores one half and passes every text."""
+
     weights: dict[str, float]
     bias: float
+    trained: bool = True
+
+    def predicted(self):
+        """1 for a toxic text, by the column `score`."""
+        return F.when(F.col("score") >= 0.5, 1).otherwise(0) if self.trained else F.lit(0)
 
     def score(self, features: set[str]) -> float:
         total = self.bias + sum(sorted(self.weights[f] for f in features & self.weights.keys()))
@@ -167,11 +174,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 def fit(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, per_class: int = PER_CLASS) -> Model:
     """The classifier of `labels` (doc_id, toxic 0 or 1; other values and ids without text do not
-    count). Without labelled texts of both classes every score is one half."""
+    count). Without labelled texts of both classes, or without a feature that tells them apart,
+    the model is untrained."""
     sample = Store(docs.sparkSession).save(labelled_sample(docs, labels, per_class), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Model({}, 0.0)
+        return Model({}, 0.0, trained=False)
     texts = sample.select("toxic", "text")
     each = texts.mapInArrow(_features, "toxic int, features array<string>").select("toxic", F.explode("features").alias("feature"))
     counts = each.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
@@ -181,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, per_class: int
     names = [f for name in OTHERS for f in word_features(name)]
     ranked = counts.filter((rate < 1) & (pos + neg >= MIN_TEXTS)).withColumn("z", F.abs(z))
     strong = ranked.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    index = {f: i for i, f in enumerate(dict.fromkeys([*names, *(r.feature for r in strong.select("feature").collect())]))}
+    telling = [r.feature for r in strong.select("feature").collect()]
+    if not telling:
+        return Model({}, 0.0, trained=False)
+    index = {f: i for i, f in enumerate(dict.fromkeys([*names, *telling]))}
     kind = "toxic int, own array<int>, gained array<array<int>>, lost array<array<int>>"
     seen = texts.mapInArrow(_indexed(index), kind).collect()  # at most two times per_class rows
     w, b = fit_weights(
@@ -226,17 +237,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Fitted on rows that are not held out; the id, labels and other columns never reach a score.
-    Rows that repeat an id are scored one by one; a null id is scored and never teaches.
+    Rows that repeat an id are scored one by one; a null id is scored and never teaches. Where
+    nothing can be learned every score is one half and no row is predicted as toxic.
     """
     model = fit(docs, labels.filter(~held_out()))
     return score(docs, model, ["doc_id"]).select(
-        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", model.predicted().alias("predicted")
     )
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored below one half, with all their columns, in one pass over the texts."""
+    """The documents not predicted as toxic, with all their columns, in one pass over the texts.
+    Where nothing can be learned, from no labels or those of one class, all documents stay."""
     model = fit(docs, labels.filter(~held_out()))
+    if not model.trained:
+        return docs
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    kept = score(named, model, named.columns, f"c{docs.columns.index('text')}").filter("score < 0.5")
+    kept = score(named, model, named.columns, f"c{docs.columns.index('text')}").filter(model.predicted() == 0)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
