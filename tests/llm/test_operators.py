@@ -335,6 +335,17 @@ def test_regions_and_blocks(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def test_articles_extend_the_region_and_never_cut_it():
+    weights = {"word p": 1.0, "word h1": 1.0, "word h2": 1.0, "word a": 0.1, "tag p": -0.5, "tag article": -1.0, "tag h1": -0.5, "tag h2": -0.5, "tag div": -1.0, "tag nav": -4.0, "tag named": -3.0}
+    p = lambda word, n=30: "<p>" + " ".join([word] * n) + "</p>"
+    two = H.main_text(f"<body><nav>menu</nav><article>{p('one')}</article><article>{p('two')}</article><footer>end</footer></body>", weights)
+    assert two == " ".join(["one"] * 30) + "\n\n" + " ".join(["two"] * 30)
+    around = H.main_text(f"<body><div><h1>A longer title</h1>{p('intro')}<article>{p('body')}</article>{p('outro')}</div><nav>menu</nav></body>", weights)
+    assert around.split("\n\n")[0] == "A longer title" and {"intro", "body", "outro"} <= set(around.split())
+    ends = H.main_text(f"<body><article><ul><li>first</ul>{p('body')}<ul><li><li><li>last</ul></article></body>", {**weights, "tag li": -4.0, "tag ul": -4.0})
+    assert ends.startswith("first") and ends.endswith("last")
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(10)
     for _ in range(200):

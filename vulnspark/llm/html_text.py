@@ -193,15 +193,14 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     if start == end:
         return ""
     first, last = seen[start].block, seen[end - 1].block
-    # Where most of the region stands in one <article>, the text is that element's, with the
-    # lists or captions at its ends.
-    inside: Counter = Counter()
-    for t in seen[start:end]:
-        inside[t.article] += 0 if t.apart else t.words
-    article = inside.most_common(1)[0][0]
+    # An <article> that the region begins or ends in is taken whole, never less than the region.
+    ends = {seen[start].article, seen[end - 1].article} - {0}
+    if ends:
+        whole = [t.block for t in seen if t.article in ends]
+        first, last = min(first, *whole), max(last, *whole)
     blocks: dict[int, list[str]] = {}
     for t in seen:
-        if not t.apart and t.text and (t.article == article if article else first <= t.block <= last):
+        if not t.apart and t.text and first <= t.block <= last:
             blocks.setdefault(t.block, []).append(t.text)
     texts = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
