@@ -346,6 +346,16 @@ def test_articles_extend_the_region_and_never_cut_it():
     assert ends.startswith("first") and ends.endswith("last")
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "layout with-sidebar", "content no-nav", "post related-2", "comment-enabled"])
+@pytest.mark.parametrize("tag", ["<div {}>{}</div>", "<article><div {}>{}</div></article>", "<main {}>{}</main>", "<main><article {}>{}</article></main>"])
+def test_class_names_of_main_containers_remove_nothing(name, tag):
+    body = "<p>" + " ".join(["text"] * 60) + "</p>"
+    box = "<div class=comments><p>nice post</p></div>"
+    for weights in ({}, {"word p": 1.0, "tag p": -0.5, "tag div": -1.0, "tag named": -3.0}):
+        page = "<body><nav>menu</nav>" + tag.format(f'class="{name}"', body + box) + "<footer>end</footer></body>"
+        assert H.main_text(page, weights) == " ".join(["text"] * 60)
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(10)
     for _ in range(200):

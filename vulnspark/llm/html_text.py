@@ -4,12 +4,16 @@ A page is a sequence of words and tags. Words score above zero and tags below, e
 kind: for words the element they stand in, for tags their name. The weights are log odds from
 labelled pages: those that mark their own content with one <article> (or else <main>) element.
 One linear scan finds the contiguous region of the largest sum, with or without such an
-element; its blocks are the text, without what elements or class names set apart as menus,
-forms, adverts, notices or comments.
+element; its blocks are the text, and an <article> that the region begins or ends in is taken
+whole. Left out is what elements set apart as menus or forms, and containers whose class names
+say so (adverts, notices, comments) where those hold no heading or article and, together, less
+than half of the words around them; the tags of other such containers are a kind of their own
+with its own weight.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -53,9 +57,15 @@ SET_APART_WORDS = frozenset(
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def sets_apart(name: str, rest: str, within_article: bool) -> bool:
-    if name in SET_APART or (name == "header" and not within_article):
-        return True
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 article main".split())
+
+
+def sets_apart(name: str, within_article: bool) -> bool:
+    return name in SET_APART or (name == "header" and not within_article)
+
+
+def named_apart(name: str, rest: str) -> bool:
+    """Whether a class, id or role of the element has a word of what is often no content."""
     if "=" not in rest or name in ("html", "body"):
         return False
     values = (a or b or c for a, b, c in CLASS.findall(rest))
@@ -75,18 +85,30 @@ class Token:
     article: int  # number of the outermost <article> it stands in, else 0
 
 
+@dataclass
+class Container:
+    """The tokens [start, end) of an element: one with a word of SET_APART_WORDS (marked), or an
+    article or main element."""
+
+    start: int
+    marked: bool
+    end: int = 0
+
+
 def tokens(page: str) -> list[Token]:
     """The page in order. Unknown and unclosed elements are taken as browsers do in the main:
     an end tag closes what is open inside, a block closes an open paragraph."""
     out: list[Token] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, Container | None]] = []
+    containers: list[Container] = []
+    headings: list[int] = []
     apart = links = block = at = labels = article = articles = 0
     length = len(page)
 
     def add(text: str) -> None:
         n = len(text.split())
         if n:
-            place = "a" if links else next((name for name, _ in reversed(stack)), "")
+            place = "a" if links else next((name for name, _, _ in reversed(stack)), "")
             out.append(Token(f"word {place}", n, text, block, bool(apart), bool(labels), article))
         elif text:
             out.append(Token("", 0, text, block, bool(apart), bool(labels), article))
@@ -94,10 +116,12 @@ def tokens(page: str) -> list[Token]:
     def close(upto: int) -> None:
         nonlocal apart, labels, article
         while len(stack) > upto:
-            name, was_apart = stack.pop()
+            name, was_apart, container = stack.pop()
             apart -= was_apart
+            if container:
+                container.end = len(out)
             labels -= name in ("article", "main")
-            if name == "article" and all(x != "article" for x, _ in stack):
+            if name == "article" and all(x != "article" for x, _, _ in stack):
                 article = 0
 
     while at < length:
@@ -121,7 +145,7 @@ def tokens(page: str) -> list[Token]:
             links = 0 if tag["end"] else 1
         if name in BLOCKS or name in SET_APART:
             block += 1
-            names = [x for x, _ in stack]
+            names = [x for x, _, _ in stack]
             if tag["end"]:
                 if name in names:
                     close(len(names) - 1 - names[::-1].index(name))
@@ -129,19 +153,73 @@ def tokens(page: str) -> list[Token]:
                 if names and (names[-1] == "p" or (name == names[-1] and name in ("li", "td", "th", "tr", "dt", "dd"))):
                     close(len(names) - 1)
                 if name not in VOID:
-                    own = sets_apart(name, rest, labels > 0)
-                    stack.append((name, own))
+                    own = sets_apart(name, labels > 0)
+                    marked = not apart and not own and named_apart(name, rest)
+                    container = Container(len(out), marked) if marked or name in ("article", "main") else None
+                    if container:
+                        containers.append(container)
+                    stack.append((name, own, container))
                     apart += own
                     labels += name in ("article", "main")
                     if name == "article" and not article:
                         article = articles = articles + 1
             out.append(Token(f"tag {name}", 0, "", block, bool(apart), bool(labels), article))
+            if name in HEADINGS:
+                headings.append(len(out) - 1)
             links = 0
         else:
             out.append(Token(f"tag {name if name in ('a', 'b', 'i', 'em', 'strong', 'span', 'img') else 'other'}", 0, "", block, bool(apart), bool(labels), article))
+    if any(c.marked for c in containers):
+        close(0)
+        _set_apart_named(out, containers, headings)
     return out
 
 
+def _set_apart_named(out: list[Token], containers: list[Container], headings: list[int]) -> None:
+    """Sets apart what stands in marked containers without a heading or article, if those of one
+    scope (the innermost container that stays, else the page) hold less than half of its words
+    together. The tags of the other marked ones become a kind of their own."""
+    before = [0]
+    for t in out:
+        before.append(before[-1] + (0 if t.apart else t.words))
+    held = lambda c: before[c.end] - before[c.start]
+    page = Container(0, False, len(out))
+    inside: dict[int, list[Container]] = {id(page): []}
+    above = [page]
+    for c in containers:  # in the order of their starts
+        while c.start >= above[-1].end:
+            above.pop()
+        inside[id(above[-1])].append(c)
+        inside[id(c)] = []
+        above.append(c)
+    scopes = [page]
+    while scopes:
+        scope = scopes.pop()
+        # An article or main element, and a container with a heading, stay and are scopes of their own.
+        able = [c for c in inside[id(scope)] if c.marked and not _has_heading(c, headings)]
+        total, half = sum(map(held, able)), held(scope) / 2
+        # A container that alone holds half of the words stays and does not count against the others.
+        large = [c for c in able if held(c) >= half]
+        small = [c for c in able if held(c) < half]
+        if total - sum(map(held, large)) >= half:
+            small = []
+        gone = set(map(id, small))
+        for c in inside[id(scope)]:
+            if id(c) in gone:
+                for t in out[c.start : c.end]:
+                    t.apart = True
+            else:
+                scopes.append(c)
+                if c.marked:
+                    out[c.start].kind = "tag named"
+
+
+def _has_heading(c: Container, headings: list[int]) -> bool:
+    """Whether a heading, article or main element is or begins in the container."""
+    at = bisect.bisect_left(headings, c.start)
+    return at < len(headings) and headings[at] < c.end
+
+
 def label_counts(page: str) -> Counter:
     """(kind, inside) -> count, for a page whose content is marked; else nothing. A tag counts
     with the side it stands on."""
