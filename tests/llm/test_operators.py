@@ -385,3 +385,26 @@ def test_licences(spark):
     got = {(r.doc_id, r.line, r.family) for r in found.collect()}
     assert got == {(1, 1, "Apache"), (2, 0, "CC-BY-NC"), (6, 1, "MIT"), (6, 0, "GPL"), (None, 0, "CC-BY")}
     assert L.find_licences(df.limit(0)).count() == 0
+
+
+def test_wrapped_licences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    signed = lambda text, sign: "\n".join(f"{sign} {line}" for line in text.split("\n"))
+    rows = [
+        (1, f"Copyright (c) 2020 Some One\n\n{mit}\n\nother text"),
+        (2, f"# tool\n#\n{signed(gpl, '#')}\n#\nimport os"),
+        (3, f"/*\n{signed(bsd, ' *')}\r\n */\nint x;"),
+        (4, f"SPDX-License-Identifier: Apache-2.0\n{gpl}"),
+        (5, "He lost his license\nand asked the school\nfor permission."),
+    ]
+    got = {(r.doc_id, r.line, r.family) for r in L.find_licences(table(spark, rows)).collect()}
+    assert got == {(1, 2, "MIT"), (2, 2, "GPL"), (3, 1, "BSD"), (4, 0, "Apache"), (4, 1, "GPL")}

@@ -143,17 +143,44 @@ def has_cue(text: Column) -> Column:
     return let(F.lower(text), lambda low: F.exists(F.array(*map(F.lit, CUES)), lambda cue: F.contains(low, cue)))
 
 
+def _cued_grams(words: Column) -> Column:
+    """The n-grams of up to `LONGEST` words that hold a cue; only those at words of a cue are made."""
+    has = lambda w: has_cue(w) | F.endswith(w, F.lit("public"))
+    places = F.filter(F.transform(words, lambda w, i: F.when(has(w), i + 1)), lambda i: i.isNotNull())
+
+    def grams(at: Column, n: int) -> Column:
+        many = F.size(words) - (n - 1)
+        near = F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (n - 1), F.lit(1)), F.least(i, many))))
+        starts = F.when(many > 0, F.array_sort(F.array_distinct(near))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)]))
+
+    return let(places, lambda at: F.filter(F.concat(*[grams(at, n) for n in range(1, LONGEST + 1)]), has_cue))
+
+
+def _both(text: Column) -> Column:
+    return let(_words(text), lambda words: F.struct(words.alias("words"), F.array_distinct(_cued_grams(words)).alias("features")))
+
+
 def with_features(df: DataFrame, text: str) -> DataFrame:
     """Adds `words` and `features`: the distinct n-grams of up to `LONGEST` words that hold a cue."""
-    cued = lambda words: F.filter(F.concat(*[_grams(words, n) for n in range(1, LONGEST + 1)]), has_cue)
-    both = lambda words: F.struct(words.alias("words"), F.array_distinct(cued(words)).alias("features"))
-    return df.withColumn("_both", let(_words(F.col(text)), both)).select("*", "_both.*").drop("_both")
+    return df.withColumn("_both", _both(F.col(text))).select("*", "_both.*").drop("_both")
+
+
+def _may_have_cue(text: Column) -> Column:
+    """As `has_cue`, with a line end or comment sign inside a cue."""
+    return has_cue(text) | F.lower(text).rlike("public[^\\p{L}\\p{N}]+domain")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, paragraph): the lines that hold a cue word."""
-    lines = docs.filter(has_cue(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    return lines.filter(has_cue(F.col("paragraph")))
+    """(doc_id, first, lines): the runs of lines between those without a letter or digit, as empty
+    comment lines are, that hold a cue word; `first` is the number of the first line."""
+    split = docs.filter(_may_have_cue(F.col("text"))).select("doc_id", F.split("text", "\n").alias("all"))
+    split = split.withColumn("full", F.transform("all", lambda line: line.rlike("[\\p{L}\\p{N}]")))
+    beside = lambda i, k: F.coalesce(F.get("full", i + k), F.lit(False))
+    edge = lambda k: F.filter(F.transform("full", lambda x, i: F.when(x & ~beside(i, k), i)), lambda i: i.isNotNull())
+    run = lambda a, b: F.struct(a.alias("first"), F.slice("all", a + 1, b - a + 1).alias("lines"))
+    runs = split.withColumn("starts", edge(-1)).withColumn("ends", edge(1))
+    return runs.select("doc_id", F.inline(F.zip_with("starts", "ends", run))).filter(_may_have_cue(F.array_join("lines", " ")))
 
 
 def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -236,9 +263,29 @@ def cover(words: Column, guess: Column) -> Column:
     return let(_grams(words, 2), lambda own: F.array_max(share(own)))
 
 
+def judged(model: Model, text: Column) -> Column:
+    """(family, probability, cover) of a text that is a notice, else null."""
+    names = F.array(*map(F.lit, model.families))
+
+    def confirmed(both: Column, odds: Column) -> Column:
+        best = F.array_max(odds)
+        guess = F.element_at(names, F.array_position(odds, best).cast("int"))
+        probability = best / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
+        sure = (guess != UNKNOWN) & (probability > model.threshold)
+        share = F.when(sure, let(guess, lambda g: cover(both["words"], g)))
+        found = lambda c: F.when(c >= LEAST_COVER, F.struct(guess.alias("family"), probability.alias("probability"), c.alias("cover")))
+        return let(share, found)
+
+    return let(_both(text), lambda both: let(_probabilities(model, both["features"]), lambda odds: confirmed(both, odds)))
+
+
 def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph (line) that is a licence notice: doc_id, line (from 0), family,
-    probability, cover, paragraph.
+    """One row per licence notice: doc_id, line (from 0, the first), family, probability, cover,
+    paragraph.
+
+    Lines that are a notice by themselves are reported one by one. What else stands in their
+    paragraph, a run of lines between blank ones, is judged as a whole, so a notice may be wrapped
+    and commented; wrapped notices of one paragraph are reported as one, of the likeliest family.
 
     Null and empty texts have none; a null id is reported as null; rows repeating an id are
     scanned one by one; other columns are not read; an empty table gives no rows. One pass
@@ -246,7 +293,13 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     model = fit(docs.sparkSession, docs)
-    guessed = scored(with_features(paragraphs(docs), "paragraph"), model)
-    sure = guessed.filter((F.col("guess") != UNKNOWN) & (F.col("probability") > model.threshold))
-    confirmed = sure.withColumn("cover", cover(F.col("words"), F.col("guess"))).filter(F.col("cover") >= LEAST_COVER)
-    return confirmed.select("doc_id", "line", F.col("guess").alias("family"), "probability", "cover", "paragraph")
+    one = lambda line, text, x: F.when(x.isNotNull(), F.struct(line.alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), x["cover"].alias("cover"), text.alias("paragraph")))
+    by_line = lambda line, i: F.when(has_cue(line), let(judged(model, line), lambda x: one(F.col("first") + i, line, x)))
+    alone = paragraphs(docs).withColumn("alone", F.transform("lines", by_line))
+    left = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("alone", i).isNull())
+    rest = alone.withColumn("left", left).withColumn("rest", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
+    # A single line is judged already.
+    whole = F.when((F.size("left") > 1) & _may_have_cue(F.col("rest")), judged(model, F.col("rest")))
+    wrapped = let(whole, lambda x: one(F.col("first") + F.get("left", F.lit(0)), F.col("rest"), x))
+    found = F.filter(F.concat("alone", F.array(wrapped)), lambda x: x.isNotNull())
+    return rest.select("doc_id", F.inline(found))
