@@ -6,7 +6,7 @@ of one mark. Distinct segments are dealt by mark to shards of bounded size. A sh
 by Larsson-Sadakane refinement and its common prefixes are computed by Kasai's scan, both in
 numpy: windows that share `LENGTH` bytes with a neighbour repeat. A mark with more segments
 than a shard takes is split over several, which are then merged: their distinct windows meet
-in ranges of window hashes and find each other by binary search.
+in ranges of window hashes, where equal hashes are grouped by a sort.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def _sort_shards(length: int, shard_bytes: int):
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows of one range that stand in several shards: each is looked up in the sorted hashes."""
+    """Windows of one range that stand in several shards: equal hashes are grouped by a sort."""
     pairs = np.empty(table.num_rows, [("w1", "i8"), ("w2", "i8")])
     for c in ("w1", "w2"):
         pairs[c] = table.column(c).to_numpy()
