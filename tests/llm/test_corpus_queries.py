@@ -21,7 +21,7 @@ from vulnspark.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
 
 

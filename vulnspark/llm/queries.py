@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vulnspark.llm.common import documents
+from vulnspark.llm.conversation_repair import repair
 from vulnspark.llm.decontamination import contaminated
 from vulnspark.llm.exact_dedup import exact_groups
 from vulnspark.llm.html_text import extract_pages
@@ -13,9 +14,11 @@ from vulnspark.llm.license_scan import find_licences
 from vulnspark.llm.ngram_join import similar_components
 from vulnspark.llm.packing import pack
 from vulnspark.llm.secret_scan import scan_secrets, secret_digests
+from vulnspark.llm.sentencepiece_codec import encode_pieces, piece_digests
 from vulnspark.llm.substring_dedup import kept_digests, remove_repeats
 from vulnspark.llm.suffix_dedup import byte_digests, remove_repeated_bytes
 from vulnspark.llm.toxicity import toxicity
+from vulnspark.llm.whitening import by_component, whiten
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
