@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.probability import argmax, cross_entropy, softmax
+from vulnspark.functions.text import let
 
 BINS = 15
 
@@ -147,3 +148,59 @@ def calibration_transfer(
         (of(True, gap) / n).alias("ece_after"),
     )
     return sets.withColumn("overconfident", F.col("mean_confidence") - F.col("accuracy") > gap_over)
+
+
+def _slopes(log_t: float) -> tuple[Column, Column, Column]:
+    """Cross-entropy of a row at log T, and its first and second derivative by log T."""
+    t = F.lit(math.exp(log_t))
+
+    def of(v: Column) -> Column:
+        p, s, own = v["p"], v["s"], v["s"][F.col("y_true")]
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        mean = dot(p, s)
+        spread = dot(p, F.transform(s, lambda x: x * x)) - mean * mean
+        return F.struct((own - mean).alias("first"), (spread - own + mean).alias("second"))
+
+    scaled = F.struct(softmax(F.col("logits"), t).alias("p"), F.transform("logits", lambda x: x / t).alias("s"))
+    slopes = let(scaled, of)
+    return cross_entropy(F.col("logits"), F.col("y_true"), t), slopes["first"], slopes["second"]
+
+
+def fit_temperature_newton(
+    rows: DataFrame, tolerance: float = 1e-9, rounds: int = 60, widest: float = 1e6
+) -> DataFrame:
+    """The temperature where the mean cross-entropy has slope zero, by Newton steps on log T.
+
+    A step is one aggregate to a single row: mean loss, slope and curvature. The slope's sign
+    brackets the minimum, and a step that would leave the bracket halves it instead (or doubles
+    the reach while one side is open). (temperature, nll_before, nll_after, gradient, n); a loss
+    that still falls at `widest` or its inverse has no minimum, which is an error. No rows give a
+    null temperature.
+    """
+    log_t, low, high = 0.0, None, None
+    before = after = slope = None
+    n = 0
+    for _ in range(rounds):
+        loss, first, second = _slopes(log_t)
+        stats = rows.agg(
+            F.avg(loss).alias("loss"), F.avg(first).alias("first"), F.avg(second).alias("second"), F.count("*").alias("n")
+        ).first()
+        n, after, slope = stats.n, stats.loss, stats.first
+        before = after if before is None else before
+        if not n or abs(slope) < tolerance:
+            break
+        low, high = (log_t, high) if slope < 0 else (low, log_t)
+        step = log_t - slope / stats.second if stats.second > 0 else None
+        inside = step is not None and (low is None or step > low) and (high is None or step < high) and abs(step - log_t) < 2
+        if inside:
+            log_t = step
+        elif low is not None and high is not None:
+            log_t = (low + high) / 2
+        else:
+            log_t += 1.0 if slope < 0 else -1.0
+        if abs(log_t) > math.log(widest):
+            raise ValueError(f"no temperature between {1 / widest:g} and {widest:g} is the best one")
+    return rows.sparkSession.createDataFrame(
+        [(math.exp(log_t) if n else None, before, after, slope, n)],
+        "temperature double, nll_before double, nll_after double, gradient double, n bigint",
+    )

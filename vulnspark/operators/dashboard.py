@@ -72,6 +72,7 @@ def summary_totals(findings: DataFrame, scans: DataFrame) -> DataFrame:
 def dashboard_summary(findings: DataFrame, scans: DataFrame, top: int = 50) -> DataFrame:
     """All summaries of every scan in one pass: (scan_id, section, key, count, ...).
 
+    Scans take part as rows that count nothing, so those without findings need no second pass.
     Sections: total (of scans without findings too), severity, type, and file with the `top`
     files of most findings. The rank filter is applied before its shuffle as well.
     """
@@ -79,14 +80,16 @@ def dashboard_summary(findings: DataFrame, scans: DataFrame, top: int = 50) -> D
     scan, severity, kind, path = map(
         F.col, ("scan_id", "severity", "vulnerability_type", "file_path")
     )
+    columns = ["scan_id", "severity", "vulnerability_type", "file_path", "confidence"]
+    real = active(findings).select(*columns, rank.alias("_rank"), F.lit(1).cast("bigint").alias("_real"))
+    known = scans.select(F.col("id").alias("scan_id"), F.lit(0).cast("bigint").alias("_real"))
     grouped = (
-        active(findings)
-        .withColumn("_rank", rank)
+        real.unionByName(known, allowMissingColumns=True)
         .groupingSets(
             [[scan], [scan, severity], [scan, kind], [scan, path]], scan, severity, kind, path
         )
         .agg(
-            F.count("*").alias("count"),
+            F.sum("_real").alias("count"),
             F.avg("confidence").alias("mean_confidence"),
             severity_of_rank(F.max("_rank")).alias("highest_severity"),
             F.grouping("severity").alias("g_severity"),
@@ -102,16 +105,12 @@ def dashboard_summary(findings: DataFrame, scans: DataFrame, top: int = 50) -> D
     )
     key = F.coalesce("severity", "vulnerability_type", "file_path", F.lit(""))
     columns = ["scan_id", "section", "key", "count", "mean_confidence", "highest_severity"]
-    found = grouped.withColumns({"section": section, "key": key}).select(*columns)
+    # Groups of scan rows alone say nothing but for the total.
+    told = grouped.withColumns({"section": section, "key": key}).filter((F.col("count") > 0) | (F.col("section") == "total"))
+    found = told.select(*columns)
     largest = W.partitionBy("scan_id", "section").orderBy(F.col("count").desc(), F.col("key"))
     # Totals, severities and types are fewer than any useful `top`.
-    kept = found.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= top).drop("_place")
-    without = scans.select(F.col("id").alias("scan_id")).join(active(findings), "scan_id", "left_anti")
-    empty = without.select(
-        "scan_id", F.lit("total").alias("section"), F.lit("").alias("key"), F.lit(0).cast("bigint").alias("count"),
-        F.lit(None).cast("double").alias("mean_confidence"), F.lit(None).cast("string").alias("highest_severity"),
-    )
-    return kept.unionByName(empty)
+    return found.withColumn("_place", F.row_number().over(largest)).filter(F.col("_place") <= top).drop("_place")
 
 
 def scan_counters(scans: DataFrame, files: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:

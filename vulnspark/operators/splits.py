@@ -77,6 +77,33 @@ def split_overlap(split_records: DataFrame) -> DataFrame:
     return counts.unpivot([], [f"{a}-{b}" for a, b in pairs], "pair", "shared_repositories")
 
 
+#: Bits of a sketch's registers; the relative standard error is 1.04 / 2^(bits / 2).
+SKETCH_BITS = 12
+
+
+def repository_sketches(split_records: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(split, sketch): a HyperLogLog sketch of each split's repositories.
+
+    A sketch is a few kilobytes whatever it saw. Sketches of batches are stored with the corpus and
+    united on append (`united_sketches`), so counting repositories does not read the corpus again."""
+    return split_records.groupBy("split").agg(F.hll_sketch_agg("repository_id", F.lit(bits)).alias("sketch"))
+
+
+def united_sketches(sketches: DataFrame) -> DataFrame:
+    """One sketch per split from those of any number of batches."""
+    return sketches.groupBy("split").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated_repositories(sketches: DataFrame) -> DataFrame:
+    """(split, n_repositories), estimated."""
+    return sketches.select("split", F.hll_sketch_estimate("sketch").alias("n_repositories"))
+
+
+def sketch_error(bits: int = SKETCH_BITS, deviations: float = 4.0) -> float:
+    """The relative error that `deviations` standard errors allow."""
+    return deviations * 1.04 / 2 ** (bits / 2)
+
+
 def corpus_stats(split_records: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """(metric, key, n) build statistics, from one pass of grouping sets."""
     grouped = split_records.groupingSets(

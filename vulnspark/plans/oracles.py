@@ -103,6 +103,12 @@ def nll(temperature: float) -> str:
     return f"({mass} + list_max(logits) / {t} - logits[y_true + 1] / {t})"
 
 
+def nll_at(t: str) -> str:
+    """The same at a temperature that is a column."""
+    mass = f"ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / {t}))))"
+    return f"({mass} + list_max(logits) / {t} - logits[y_true + 1] / {t})"
+
+
 def ratio(part: str, whole: str) -> str:
     return f"(CASE WHEN {whole} = 0 THEN 0.0 ELSE CAST({part} AS DOUBLE) / {whole} END)"
 
@@ -690,6 +696,7 @@ cte(
 ORACLES["label_files"] = sql(
     "SELECT file_path, CAST(line AS INT) AS line, label FROM label_sites", "label_sites"
 )
+ORACLES["label_udtf"] = ORACLES["label_files"]
 ORACLES["snippet_heat"] = sql(
     f"""SELECT id, CAST(c.line AS INT) AS line, md5(c.line_text) AS text_digest, round(score, 6) AS score
     FROM (SELECT 'doc_' || chunk_id || ':' || window_index AS id, chunk_id, window_index, start_line + i - 1 AS line,
@@ -778,6 +785,9 @@ def stats_sql(source: str) -> str:
 
 
 ORACLES["corpus_stats"] = sql(stats_sql("split"), "split")
+ORACLES["repository_sketches"] = sql(
+    "SELECT split, count(DISTINCT file_path) AS exact, true AS within_bound FROM split GROUP BY 1", "split"
+)
 ORACLES["class_weights"] = sql(
     f""", c AS (SELECT k AS label_id, {texts(LABELS)}[k + 1] AS label,
         (SELECT count(*) FROM corpus
@@ -855,6 +865,27 @@ ORACLES["fit_temperature"] = sql(
     "logits",
 )
 
+# The slope of the loss has one zero; halving finds it without any derivative of its own.
+ORACLES["fit_temperature_newton"] = sql(
+    f""", halved(step, low, high) AS (
+        SELECT 0, -8.0::DOUBLE, 8.0::DOUBLE
+        UNION ALL
+        SELECT step + 1, CASE WHEN slope < 0 THEN mid ELSE low END, CASE WHEN slope < 0 THEN high ELSE mid END FROM (
+            SELECT step, low, high, mid, avg(s[y_true + 1] - list_sum(list_transform(list_zip(w, s), lambda z: z[1] * z[2]))
+                / list_sum(w)) AS slope
+            FROM (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS w FROM (
+                SELECT step, low, high, (low + high) / 2 AS mid, y_true,
+                       list_transform(logits, lambda x: x / exp((low + high) / 2)) AS s
+                FROM halved, logits WHERE step < 50))
+            GROUP BY step, low, high, mid)
+    ), found AS (SELECT exp((low + high) / 2) AS t FROM halved WHERE step = 50)
+    SELECT round(any_value(t), 6) AS temperature, round(avg({nll(1.0)}), 6) AS nll_before,
+           round(avg({nll_at('t')}), 6) AS nll_after, count(*) AS n, true AS flat
+    FROM logits, found""",
+    "logits",
+    recursive=True,
+)
+
 
 def ece_by_set(temperature: float, name: str) -> str:
     return f"""SELECT set_name, sum(CASE WHEN bin > 0 THEN n * gap ELSE 0 END) / sum(n) AS {name} FROM (
@@ -1006,7 +1037,7 @@ ORACLES["scan_counters"] = sql(
     FROM every_scan
     LEFT JOIN (SELECT 's' || (o_orderkey % 50) AS scan_id, count(*) AS n FROM orders GROUP BY 1) USING (scan_id)
     LEFT JOIN (SELECT 's' || (l_orderkey % 60) AS scan_id, count(*) AS c FROM lineitem GROUP BY 1) USING (scan_id)
-    LEFT JOIN (SELECT scan_id, count(*) AS f FROM findings WHERE confidence >= 0.9 GROUP BY 1) USING (scan_id)""",
+    LEFT JOIN (SELECT scan_id, count(*) AS f FROM findings GROUP BY 1) USING (scan_id)""",
     "findings",
     "every_scan",
 )
@@ -1019,6 +1050,18 @@ ORACLES["retention"] = sql(
     "SELECT id, scan_id FROM findings WHERE scan_id NOT IN (SELECT 's' || (n_nationkey * 2) FROM nation)",
     "findings",
 )
+ORACLES["retention_rewrite"] = ORACLES["retention"]
+ORACLES["apply_dismissals_bucketed"] = ORACLES["apply_dismissals"]
+ORACLES["deep_findings_page"] = sql(
+    """SELECT row_number() OVER (ORDER BY confidence DESC, id) - 1 AS place, id, scan_id, confidence
+    FROM findings WHERE scan_id = 's10' AND NOT dismissed ORDER BY place LIMIT 100 OFFSET 40""",
+    "findings",
+)
+ORACLES["deep_scans_page"] = sql(
+    """SELECT row_number() OVER (ORDER BY created_at DESC, id) - 1 AS place, id, user_id
+    FROM scans WHERE user_id = 3 ORDER BY place LIMIT 4 OFFSET 2""",
+    "scans",
+)
 ORACLES["duplicate_keys"] = sql(
     """SELECT scan_id, file_path, function_name, start_line, count(*) AS n FROM findings
     GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""",
@@ -1132,4 +1175,59 @@ ORACLES["corpus_build"] = sql(
 ORACLES["stream_dedup"] = sql(
     "SELECT DISTINCT scan_id, file_path, function_name, start_line FROM findings", "findings"
 )
+ORACLES["stream_first_of_scan"] = ORACLES["stream_dedup"]
 ORACLES["stream_summary"] = ORACLES["summary_by_severity"]
+
+# --- classifier ---
+
+cte(
+    "training",
+    f"""SELECT s.doc_id, s.doc_id % 7 AS y, {regex_all('d.text', TOKEN_ML)} AS t
+    FROM split s JOIN documents d USING (doc_id) WHERE split = 'train'""",
+    "split",
+)
+cte(
+    "term_rows",
+    """SELECT doc_id, y, term, count(*) AS n FROM (SELECT doc_id, y, unnest(t
+        || list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1])
+        || list_transform(range(1, len(t) - 1), lambda j: t[j] || ' ' || t[j + 1] || ' ' || t[j + 2])) AS term
+        FROM training) GROUP BY ALL""",
+    "training",
+)
+cte(
+    "frequent_terms",
+    f"""SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df,
+       {', '.join(f'count(*) FILTER (WHERE y = {c}) AS c{c}' for c in range(N))}
+    FROM term_rows GROUP BY term HAVING count(*) >= 2 ORDER BY tf DESC, term LIMIT 50000""",
+    "term_rows",
+)
+cte(
+    "class_sizes",
+    f"SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE y = {c}) AS s{c}' for c in range(N))} FROM training",
+    "training",
+)
+
+
+def class_cell(c: int) -> str:
+    expected = f"(df * (s{c} / n))"
+    return (
+        f"CASE WHEN s{c} > 0 THEN pow(c{c} - {expected}, 2) * (1 / {expected} + 1 / ((n - df) * (s{c} / n))) ELSE 0.0 END"
+    )
+
+
+cte(
+    "chosen_terms",
+    f"""SELECT term, tf, df, CASE WHEN df < n THEN round({' + '.join(map(class_cell, range(N)))}, 6) ELSE 0.0 END AS chi2
+    FROM frequent_terms, class_sizes ORDER BY chi2 DESC, term LIMIT 2000""",
+    "frequent_terms",
+    "class_sizes",
+)
+ORACLES["chosen_terms"] = sql("SELECT * FROM chosen_terms", "chosen_terms")
+ORACLES["tfidf_weights"] = sql(
+    """SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
+    FROM (SELECT r.doc_id, term, r.n * ln((s.n + 1) / (df + 1)) AS w
+          FROM term_rows r JOIN chosen_terms USING (term), class_sizes s) WHERE w <> 0""",
+    "term_rows",
+    "chosen_terms",
+    "class_sizes",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions import paths, probability, text
 from vulnspark.operators import (
+    bucketed,
     calibrate,
     chunks,
     classifier,
     dashboard,
     dedup,
     evaluate,
+    label_function,
     labeling,
     localize,
+    pages,
     scan,
     source,
     splits,
@@ -26,6 +30,7 @@ from vulnspark.plans import inputs
 from vulnspark.plans.build import build_corpus
 from vulnspark.session import materialize, spread, work_folder
 from vulnspark.sources import archives, corpus, findings, reports
+from vulnspark.sources import retention as rewriting
 from vulnspark.streaming import jobs
 from vulnspark.taxonomy import severity_for
 
@@ -318,6 +323,13 @@ def label_files(spark, sf):
     return labeling.detect(inputs.python_modules(spark, sf), ["file_path"])
 
 
+@query
+def label_udtf(spark, sf):
+    label_function.register_label_udtf(spark)
+    inputs.python_modules(spark, sf).select("file_path", "content").createOrReplaceTempView("vulnspark_label_files")
+    return spark.sql("SELECT file_path, line, label FROM label_source(TABLE(vulnspark_label_files))")
+
+
 @query
 def snippet_heat(spark, sf):
     rows = localize.attribute_lines(inputs.with_token_scores(inputs.document_chunks(spark, sf)))
@@ -439,6 +451,22 @@ def corpus_stats(spark, sf):
     return splits.corpus_stats(_split_keys(spark, sf))
 
 
+@query
+def repository_sketches(spark, sf):
+    """Distinct files per split, exact and as estimated from stored sketches of two batches."""
+    folder = work_folder(spark)
+    records = _split_keys(spark, sf).withColumn("repository_id", F.col("file_path"))
+    for odd in (0, 1):
+        batch = records.filter(F.col("doc_id") % 2 == odd)
+        splits.repository_sketches(batch).write.mode("append").parquet(f"{folder}/sketches")
+    stored = splits.united_sketches(spark.read.parquet(f"{folder}/sketches"))
+    exact = records.groupBy("split").agg(F.count_distinct("repository_id").alias("exact"))
+    error = F.abs(F.col("n_repositories") - F.col("exact")) / F.col("exact")
+    return exact.join(splits.estimated_repositories(stored), "split").select(
+        "split", "exact", (error <= splits.sketch_error()).alias("within_bound")
+    )
+
+
 @query
 def class_weights(spark, sf):
     # The third class is absent: its records carry the first one's label.
@@ -519,6 +547,12 @@ def fit_temperature(spark, sf):
     return _rounded(calibrate.fit_temperature(inputs.logits(spark, sf)))
 
 
+@query
+def fit_temperature_newton(spark, sf):
+    fitted = calibrate.fit_temperature_newton(inputs.logits(spark, sf))
+    return _rounded(fitted.withColumn("flat", F.abs("gradient") < 1e-8).drop("gradient"))
+
+
 @query
 def calibration_transfer(spark, sf):
     sets = F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("test_full"), F.lit("test_real")))
@@ -662,7 +696,7 @@ def scan_counters(spark, sf):
     # Files of the first fifty scans only: the others have none.
     files = inputs.table(spark, sf, "orders").select(inputs.lit_concat("s", F.col("o_orderkey") % 50).alias("scan_id"))
     parts = inputs.table(spark, sf, "lineitem").select(lit_scan(F.col("l_orderkey")).alias("scan_id"))
-    rows = inputs.findings(spark, sf).filter(F.col("confidence") >= 0.9)
+    rows = inputs.findings(spark, sf)
     return dashboard.scan_counters(inputs.every_scan(spark, sf), files, parts, rows)
 
 
@@ -683,6 +717,43 @@ def retention(spark, sf):
     return kept.select("id", "scan_id")
 
 
+@query
+def retention_rewrite(spark, sf):
+    """Deletes from a stored table and reads it back."""
+    path = f"{work_folder(spark)}/findings"
+    findings.clustered(inputs.findings(spark, sf), 16).write.parquet(path)
+    rewriting.delete_scans(spark, path, inputs.deletions(spark, sf))
+    return rewriting.read_current(spark, path).select("id", "scan_id")
+
+
+@query
+def apply_dismissals_bucketed(spark, sf):
+    """The same on stored tables of equal buckets, after the log was appended to and compacted."""
+    folder, tag = work_folder(spark), uuid.uuid4().hex
+    rows = bucketed.store_findings(inputs.customer_findings(spark, sf), f"vulnspark_findings_{tag}", f"{folder}/findings", 8)
+    log = inputs.dismissals(spark, sf)
+    for part in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
+        whole = bucketed.append_dismissals(log.filter(part), f"vulnspark_log_{tag}", f"{folder}/log", 8)
+    compact = bucketed.compact_dismissals(whole, f"vulnspark_compact_{tag}", f"{folder}/compact", 8)
+    return dashboard.apply_dismissals(rows, compact)
+
+
+@query
+def deep_findings_page(spark, sf):
+    """A page far down one scan's list, from the stored order."""
+    folder, rows = work_folder(spark), dashboard.active(inputs.findings(spark, sf))
+    pages.write_pages(rows, folder, "scan_id", [F.col("confidence").desc(), F.col("id")])
+    page = pages.read_page(spark, folder, "scan_id", "s10", limit=100, offset=40)
+    return page.select("place", "id", "scan_id", "confidence")
+
+
+@query
+def deep_scans_page(spark, sf):
+    folder = work_folder(spark)
+    pages.write_pages(inputs.scans(spark, sf), folder, "user_id", [F.col("created_at").desc(), F.col("id")])
+    return pages.read_page(spark, folder, "user_id", 3, limit=4, offset=2).select("place", "id", "user_id")
+
+
 @query
 def duplicate_keys(spark, sf):
     return dashboard.duplicate_locations(inputs.findings(spark, sf))
@@ -811,12 +882,30 @@ def corpus_build(spark, sf):
 # --- classifier ---
 
 
+def _classified(spark, sf) -> DataFrame:
+    return splits.make_splits(inputs.corpus(spark, sf)).withColumn("y_true", (F.col("doc_id") % 7).cast("int"))
+
+
+@query
+def chosen_terms(spark, sf):
+    """The forest's vocabulary."""
+    train = _classified(spark, sf).filter(F.col("split") == "train")
+    return classifier.choose_terms(classifier.with_terms(train), "y_true")
+
+
+@query
+def tfidf_weights(spark, sf):
+    train = _classified(spark, sf).filter(F.col("split") == "train")
+    return _rounded(classifier.tfidf_weights(train, "doc_id", "y_true"))
+
+
 @query
 def rf_baseline(spark, sf):
-    records = splits.make_splits(inputs.corpus(spark, sf)).withColumn("y_true", (F.col("doc_id") % 7).cast("int"))
+    """The forest at its default size: 300 trees."""
+    records = _classified(spark, sf)
     train = records.filter(F.col("split") == "train")
     test = records.filter(F.col("split") == "test_full")
-    model = classifier.train_forest(train, trees=20, max_features=5000, max_depth=6)
+    model = classifier.train_forest(train)
     return _rounded(evaluate.metrics(classifier.predict(model, test), per_class=False))
 
 
@@ -847,6 +936,13 @@ def stream_dedup(spark, sf):
     return unique.select("scan_id", "file_path", "function_name", "start_line")
 
 
+@query
+def stream_first_of_scan(spark, sf):
+    arriving = _findings_stream(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    unique = jobs.stream_first_of_scan(arriving, work_folder(spark), "30 days")
+    return unique.select("scan_id", "file_path", "function_name", "start_line")
+
+
 @query
 def stream_summary(spark, sf):
     return jobs.stream_summary(_findings_stream(spark, sf), work_folder(spark))

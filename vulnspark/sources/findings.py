@@ -46,14 +46,20 @@ def stored_form(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"contributing_lines": lines, "probabilities": rounded})
 
 
-def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet clustered by scan.
+def clustered(findings: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows in ranges of (scan_id, id), as the table is stored.
 
-    Ranges of (scan_id, id) split a scan that holds most rows over many tasks, and keep
-    each file's scan range short, so that reading one scan skips the other row groups.
+    Ranges split a scan that holds most rows over many tasks, and keep each file's scan range
+    short, so that reading one scan skips the other row groups.
     """
-    clustered = stored_form(findings).repartitionByRange("scan_id", "id")
-    clustered.sortWithinPartitions("scan_id", "id").write.mode(mode).parquet(path)
+    order = ("scan_id", "id")
+    ranges = findings.repartitionByRange(*order) if files is None else findings.repartitionByRange(files, *order)
+    return ranges.sortWithinPartitions(*order)
+
+
+def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parquet clustered by scan; `retention.delete_scans` removes scans from it."""
+    clustered(stored_form(findings)).write.mode(mode).parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Incremental forms of the scan, its deduplication and its counters.
 
 Each job drains what has arrived (`availableNow`) and stops. Its checkpoint lives beside
-its output in a shared folder, so a lost executor or a restart repeats no work.
+its output in a shared folder, so a lost executor or a restart repeats no work. A source that
+never had a file gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from vulnspark.operators.dashboard import FINDING_LOCATION
+from vulnspark.streaming.log import BatchLog
+from vulnspark.streaming.seen import FirstOfScan
 from vulnspark.taxonomy import severity_rank
 
+#: A scan's locations are dealt to so many states, so that a scan of most rows is not one task.
+SLOTS = 64
+
 
 def _drain(writer: DataStreamWriter, folder: str, name: str) -> None:
     query = writer.option("checkpointLocation", f"{folder}/{name}-progress").trigger(
@@ -28,6 +34,14 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def _written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at `path`; empty while no batch has written there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stream_scan(
     files: DataFrame, scan: Callable[[DataFrame], DataFrame], folder: str
 ) -> DataFrame:
@@ -41,7 +55,8 @@ def stream_scan(
         scan(batch).write.mode("overwrite").parquet(f"{folder}/findings/batch={number}")
 
     _drain(files.writeStream.foreachBatch(write), folder, "scan")
-    return files.sparkSession.read.parquet(f"{folder}/findings").drop("batch")
+    spark = files.sparkSession
+    return _written(spark, f"{folder}/findings", scan(spark.createDataFrame([], files.schema)).schema)
 
 
 def stream_dedup(findings: DataFrame, folder: str, within: str | None = None) -> DataFrame:
@@ -57,40 +72,46 @@ def stream_dedup(findings: DataFrame, folder: str, within: str | None = None) ->
         unique = findings.dropDuplicates(keys)
     writer = unique.writeStream.format("parquet").outputMode("append")
     _drain(writer.option("path", f"{folder}/unique"), folder, "unique")
-    return findings.sparkSession.read.schema(unique.schema).parquet(f"{folder}/unique")
+    return _written(findings.sparkSession, f"{folder}/unique", unique.schema)
+
+
+def stream_first_of_scan(findings: DataFrame, folder: str, idle: str, slots: int = SLOTS) -> DataFrame:
+    """First arrival of each finding location, with state that goes when its scan is over.
+
+    The state of a scan is a map of the locations it has seen. A timer, moved on by every new
+    location, clears the map once the watermark of `created_at` is `idle` behind the scan's last
+    one. Rows later than the watermark are dropped, so a cleared scan cannot report a location
+    twice. A scan's locations are dealt to `slots` states by file and line.
+    """
+    keys = list(FINDING_LOCATION)
+    slot = F.pmod(F.xxhash64(*keys[1:]), F.lit(slots)).alias("slot")
+    at = F.coalesce(F.unix_millis(F.col("created_at").cast("timestamp")), F.lit(0)).alias("at")
+    rows = findings.select(*keys, "created_at", at, slot).withWatermark("created_at", idle)
+    unique = rows.groupBy("scan_id", "slot").transformWithStateInPandas(
+        FirstOfScan(idle, keys),
+        outputStructType=findings.select(*keys, "created_at").schema,
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    writer = unique.writeStream.format("parquet").outputMode("append")
+    _drain(writer.option("path", f"{folder}/first"), folder, "first")
+    return _written(findings.sparkSession, f"{folder}/first", unique.schema)
 
 
 def stream_summary(findings: DataFrame, folder: str, fold: int = 50) -> DataFrame:
     """Running finding counts by scan and severity.
 
     The stream appends changed counts to a log; the latest entry of each key is current. Every
-    `fold` batches the log is folded into the newest batch, so a read never takes in more.
+    `fold` batches the log is folded into one table, so a read never takes in more.
     """
     counts = (
         findings.filter(~F.col("dismissed"))
         .groupBy("scan_id", "severity")
         .agg(F.count("*").alias("count"))
     )
-    spark, place = findings.sparkSession, f"{folder}/counts"
-
-    def log(changed: DataFrame, number: int) -> None:
-        target = f"{place}/batch={number}"
-        if number == 0 or (number + 1) % fold:
-            changed.write.mode("overwrite").parquet(target)
-            return
-        earlier = spark.read.parquet(place).filter(F.col("batch") < number)
-        every = earlier.unionByName(changed.withColumn("batch", F.lit(number)))
-        latest_counts(every).write.mode("overwrite").parquet(target)
-        # The folded batch holds the latest entry of every key, so the older ones say nothing more.
-        root = spark._jvm.org.apache.hadoop.fs.Path(place)
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for entry in files.listStatus(root):
-            name = entry.getPath().getName()
-            if name.startswith("batch=") and int(name.removeprefix("batch=")) < number:
-                files.delete(entry.getPath(), True)
-
-    _drain(counts.writeStream.outputMode("update").foreachBatch(log), folder, "counts")
-    return latest_counts(spark.read.parquet(place)).withColumn("rank", severity_rank(F.col("severity")))
+    log = BatchLog(findings.sparkSession, f"{folder}/counts", counts.schema, latest_counts, fold)
+    _drain(counts.writeStream.outputMode("update").foreachBatch(log.append), folder, "counts")
+    return log.current().withColumn("rank", severity_rank(F.col("severity")))
 
 
 def latest_counts(history: DataFrame) -> DataFrame:
