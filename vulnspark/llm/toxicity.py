@@ -58,39 +58,52 @@ def text_features(words: Iterable[str], features_of: Callable[[str], Iterable[st
     return {*counts, *(f"{f}#{n}" for f, c in counts.items() for n in REPEATS if c >= n)}
 
 
-def swapped(text: str) -> list[tuple[set[str], set[str]]]:
-    """Features that the text gains and loses when one name in a sentence is swapped."""
+def swapped(text: str) -> Counter:
+    """Features that the text gains and loses when one name in a sentence is swapped, as
+    (gained, lost) with how many swaps do that. Only the counts of the two names' features change,
+    so the work is linear in the text; their kinds of change are few, however long it is."""
     if not OTHERS.keys() & set(WORD.findall(text)):
-        return []
-    sentences = [WORD.findall(s) for s in SENTENCE.split(text)]
-    before = text_features(w for s in sentences for w in s)
-    pairs = []
-    for i, words in enumerate(sentences):
-        rest = [w for j, s in enumerate(sentences) if j != i for w in s]
-        for name in sorted(OTHERS.keys() & set(words)):
-            for other in OTHERS[name]:
-                after = text_features([*rest, *(other if w == name else w for w in words)])
-                pairs.append((after - before, before - after))
+        return Counter()
+    sentences = [Counter(WORD.findall(s)) for s in SENTENCE.split(text)]
+    total: Counter = Counter()
+    for words in sentences:
+        for word, n in words.items():
+            for f in word_features(word):
+                total[f] += n
+    swaps = Counter((name, words[name]) for words in sentences for name in OTHERS.keys() & words.keys())
+    pairs: Counter = Counter()
+    for (name, n), times in swaps.items():
+        for other in OTHERS[name]:
+            change = Counter(dict.fromkeys(word_features(other), n))
+            change.subtract(dict.fromkeys(word_features(name), n))
+            gained, lost = [], []
+            for f, by in change.items():
+                for mark, least in ((f, 1), *((f"{f}#{r}", r) for r in REPEATS)):
+                    before, after = total[f] >= least, total[f] + by >= least
+                    if before != after:
+                        (gained if after else lost).append(mark)
+            pairs[tuple(sorted(gained)), tuple(sorted(lost))] += times
     return pairs
 
 
 @dataclass
 class Model:
-    """An untrained model scores one half and passes every text."""
-
     weights: dict[str, float]
     bias: float
-    trained: bool = True
 
     def predicted(self):
         """1 for a toxic text, by the column `score`."""
-        return F.when(F.col("score") >= 0.5, 1).otherwise(0) if self.trained else F.lit(0)
+        return F.when(F.col("score") >= 0.5, 1).otherwise(0)
 
     def score(self, features: set[str]) -> float:
         total = self.bias + sum(sorted(self.weights[f] for f in features & self.weights.keys()))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
+#: Nothing was learned: every text has the same score, below one half.
+UNTRAINED = Model({}, -1.0)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label, out = [], []
@@ -101,22 +114,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(index: dict[str, int]):
-    """Per labelled text: its class, the numbers of its features, and those of each swap."""
+    """Per labelled text: its class, the numbers of its features, and (gained, lost, times) of its swaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = lambda features: sorted(index[f] for f in features if f in index)
-        kind = pa.list_(pa.int32())
+        numbered = pa.list_(pa.int32())
+        swap = pa.list_(pa.struct([("gained", numbered), ("lost", numbered), ("times", pa.int64())]))
         for batch in batches:
-            label, own, gained, lost = [], [], [], []
+            label, own, swaps = [], [], []
             for toxic, text in rows(batch):
                 low = text.lower()
-                pairs = swapped(low)
                 label.append(toxic)
                 own.append(numbers(text_features(WORD.findall(low))))
-                gained.append([numbers(a) for a, _ in pairs])
-                lost.append([numbers(b) for _, b in pairs])
-            arrays = [pa.array(label, pa.int32()), pa.array(own, kind), pa.array(gained, pa.list_(kind)), pa.array(lost, pa.list_(kind))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "own", "gained", "lost"])
+                swaps.append([(numbers(a), numbers(b), n) for (a, b), n in swapped(low).items()])
+            arrays = [pa.array(label, pa.int32()), pa.array(own, numbered), pa.array(swaps, swap)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "own", "swaps"])
 
     return run
 
@@ -132,13 +144,14 @@ def fit_weights(
     own: list[list[int]],
     gained: list[list[int]],
     lost: list[list[int]],
+    times: np.ndarray,
     n_features: int,
     penalty: float,
     ridge: float = 1e-3,
     steps: int = 300,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of least mean log loss + ridge * |w|^2 + penalty * mean (score change)^2,
-    by Adam from zero; classes weigh the same."""
+    by Adam from zero; classes weigh the same. Change i stands for `times[i]` swaps."""
     n = len(labels)
     row, col = _coordinates(own)
     up_row, up_col = _coordinates(gained)
@@ -152,7 +165,7 @@ def fit_weights(
         slope = np.bincount(col, error[row], n_features) + 2 * ridge * w
         if gained:
             change = np.bincount(up_row, w[up_col], len(gained)) - np.bincount(down_row, w[down_col], len(gained))
-            pull = 2 * penalty / len(gained) * change
+            pull = 2 * penalty / times.sum() * times * change
             slope += np.bincount(up_col, pull[up_row], n_features) - np.bincount(down_col, pull[down_row], n_features)
         slope = np.append(slope, error.sum())
         first = 0.9 * first + 0.1 * slope
@@ -179,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, per_class: int
     sample = Store(docs.sparkSession).save(labelled_sample(docs, labels, per_class), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Model({}, 0.0, trained=False)
+        return UNTRAINED
     texts = sample.select("toxic", "text")
     each = texts.mapInArrow(_features, "toxic int, features array<string>").select("toxic", F.explode("features").alias("feature"))
     counts = each.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
@@ -191,15 +204,21 @@ def fit(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, per_class: int
     strong = ranked.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
     telling = [r.feature for r in strong.select("feature").collect()]
     if not telling:
-        return Model({}, 0.0, trained=False)
+        return UNTRAINED
     index = {f: i for i, f in enumerate(dict.fromkeys([*names, *telling]))}
-    kind = "toxic int, own array<int>, gained array<array<int>>, lost array<array<int>>"
-    seen = texts.mapInArrow(_indexed(index), kind).collect()  # at most two times per_class rows
+    kind = "toxic int, own array<int>, swaps array<struct<gained:array<int>,lost:array<int>,times:long>>"
+    told = Store(docs.sparkSession).save(texts.mapInArrow(_indexed(index), kind), "told")
+    # At most two times per_class rows of at most as many numbers as there are features; swaps only
+    # concern the names' features, so their kinds are few.
+    seen = sorted(map(tuple, told.select("toxic", "own").collect()))
+    each = told.select(F.explode("swaps").alias("s")).groupBy("s.gained", "s.lost").agg(F.sum("s.times").alias("times"))
+    swaps = sorted(map(tuple, each.collect()))
     w, b = fit_weights(
-        np.array([r.toxic for r in seen], float),
-        [r.own for r in seen],
-        [x for r in seen for x in r.gained],
-        [x for r in seen for x in r.lost],
+        np.array([toxic for toxic, _ in seen], float),
+        [own for _, own in seen],
+        [gained for gained, _, _ in swaps],
+        [lost for _, lost, _ in swaps],
+        np.array([n for _, _, n in swaps], float),
         len(index),
         penalty,
     )
@@ -238,7 +257,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Fitted on rows that are not held out; the id, labels and other columns never reach a score.
     Rows that repeat an id are scored one by one; a null id is scored and never teaches. Where
-    nothing can be learned every score is one half and no row is predicted as toxic.
+    nothing can be learned all scores are one and the same, below one half. Texts of any length are
+    read whole, in time linear in their words.
     """
     model = fit(docs, labels.filter(~held_out()))
     return score(docs, model, ["doc_id"]).select(
@@ -250,7 +270,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted as toxic, with all their columns, in one pass over the texts.
     Where nothing can be learned, from no labels or those of one class, all documents stay."""
     model = fit(docs, labels.filter(~held_out()))
-    if not model.trained:
+    if model is UNTRAINED:
         return docs
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     kept = score(named, model, named.columns, f"c{docs.columns.index('text')}").filter(model.predicted() == 0)
