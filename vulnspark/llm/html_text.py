@@ -5,15 +5,13 @@ kind: for words the element they stand in, for tags their name. The weights are
 labelled pages: those that mark their own content with one <article> (or else <main>) element.
 One linear scan finds the contiguous region of the largest sum, with or without such an
 element; its blocks are the text, and an <article> that the region begins or ends in is taken
-whole. Left out is what elements set apart as menus or forms, and containers whose class names
-say so (adverts, notices, comments) where those hold no heading or article and, together, less
-than half of the words around them; the tags of other such containers are a kind of their own
-with its own weight.
+whole. Left out is what elements set apart as menus or forms, reader comments by the names of their
+containers, and containers named as adverts, notices or sidebars unless the scan finds the whole
+region inside one. No rule asks how much a container holds. Pages are read in linear time.
 """
 
 from __future__ import annotations
 
-import bisect
 import html
 import math
 import re
@@ -33,10 +31,8 @@ LABELLED = 2_000
 WORD_WEIGHT, TAG_WEIGHT = 1.0, -3.25
 FLOOR, CEILING = 0.1, 4.0
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*+(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>",
-    re.DOTALL,
-)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*+(?:>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)", re.DOTALL)
+REST = re.compile(r"((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>")
 CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|svg|template)\s*>", re.IGNORECASE)
 BLOCKS = frozenset(
@@ -48,28 +44,38 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose content is never text of the page.
 UNREAD = frozenset("iframe noscript script style svg template textarea title".split())
 SET_APART = frozenset("aside button dialog footer form menu nav select".split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies responses".split())
 SET_APART_WORDS = frozenset(
-    "ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted "
-    "promotion related reply replies responses share sharing sidebar social sponsor sponsored subscribe toolbar "
-    "topbar widget".split()
+    "ad ads advert advertisement alert banner breadcrumb breadcrumbs consent cookie cookies footer masthead menu "
+    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related share "
+    "sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: A class with one of these says what its container is beside or can have, not what it is.
+ABOUT = frozenset("has with without no enabled disabled closed open allow allowed".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 article main".split())
+#: A comment container that holds the only one of these on its page is no comment container.
+ONE_OF_A_PAGE = ("article", "main", "h1")
+COMMENTS, NAMED = "comments", "named"
 
 
 def sets_apart(name: str, within_article: bool) -> bool:
     return name in SET_APART or (name == "header" and not within_article)
 
 
-def named_apart(name: str, rest: str) -> bool:
-    """Whether a class, id or role of the element has a word of what is often no content."""
+def named_apart(name: str, rest: str) -> str:
+    """What a class, id or role of the element says it is, if that is no content."""
     if "=" not in rest or name in ("html", "body"):
-        return False
-    values = (a or b or c for a, b, c in CLASS.findall(rest))
-    return any(p.lower() in SET_APART_WORDS for v in values for p in NAME_PART.findall(v))
+        return ""
+    found = ""
+    for values in CLASS.findall(rest):
+        for value in "".join(values).split():
+            parts = {p.lower() for p in NAME_PART.findall(value)}
+            if parts & ABOUT:
+                continue
+            if parts & COMMENT_WORDS:
+                return COMMENTS
+            found = NAMED if parts & SET_APART_WORDS else found
+    return found
 
 
 @dataclass
@@ -87,56 +93,81 @@ class Token:
 
 @dataclass
 class Container:
-    """The tokens [start, end) of an element: one with a word of SET_APART_WORDS (marked), or an
-    article or main element."""
+    """The tokens [start, end) of an element whose names say COMMENTS or NAMED."""
 
     start: int
-    marked: bool
+    says: str
     end: int = 0
 
 
-def tokens(page: str) -> list[Token]:
-    """The page in order. Unknown and unclosed elements are taken as browsers do in the main:
-    an end tag closes what is open inside, a block closes an open paragraph."""
+def tags_of(page: str) -> Iterator[tuple[int, int, re.Match, str]]:
+    """(start, end, tag, attributes) of the tags in order, until the caller sends a place to go on at.
+
+    From the first tag whose quotes do not close, quotes mean nothing and a tag ends at the first
+    `>`; what follows the last `>` is text."""
+    at, quotes = 0, True
+    while tag := TAG.search(page, at):
+        at, rest = tag.end(), ""
+        if tag["name"]:
+            found = REST.match(page, at) if quotes else None
+            if found:
+                rest, at = found[1], found.end()
+            else:
+                quotes, close = False, page.find(">", at)
+                if close < 0:
+                    return
+                rest, at = page[at:close], close + 1
+        at = (yield tag.start(), at, tag, rest) or at
+
+
+def tokens(page: str) -> tuple[list[Token], list[Container]]:
+    """The page in order, and its named containers. Unknown and unclosed elements are taken as
+    browsers do in the main: an end tag closes what is open inside, a block closes an open
+    paragraph. Comment containers are set apart."""
     out: list[Token] = []
     stack: list[tuple[str, bool, Container | None]] = []
     containers: list[Container] = []
-    headings: list[int] = []
-    apart = links = block = at = labels = article = articles = 0
-    length = len(page)
+    open_: Counter = Counter()
+    ones: dict[str, list[int]] = {name: [] for name in ONE_OF_A_PAGE}
+    apart = links = block = at = labels = article = articles = named = 0
 
     def add(text: str) -> None:
         n = len(text.split())
         if n:
-            place = "a" if links else next((name for name, _, _ in reversed(stack)), "")
+            place = NAMED if named else "a" if links else stack[-1][0] if stack else ""
             out.append(Token(f"word {place}", n, text, block, bool(apart), bool(labels), article))
         elif text:
             out.append(Token("", 0, text, block, bool(apart), bool(labels), article))
 
     def close(upto: int) -> None:
-        nonlocal apart, labels, article
+        nonlocal apart, labels, article, named
         while len(stack) > upto:
             name, was_apart, container = stack.pop()
             apart -= was_apart
             if container:
                 container.end = len(out)
+                named -= container.says == NAMED
+            open_[name] -= 1
             labels -= name in ("article", "main")
-            if name == "article" and all(x != "article" for x, _, _ in stack):
+            if name == "article" and not open_[name]:
                 article = 0
 
-    while at < length:
-        tag = TAG.search(page, at)
-        add(page[at : tag.start()] if tag else page[at:])
-        if not tag:
+    tags, skip = tags_of(page), None
+    while True:
+        try:
+            start, end, tag, rest = tags.send(skip)
+        except StopIteration:
+            add(page[at:])
             break
-        at = tag.end()
+        add(page[at:start])
+        at, skip = end, None
         if not tag["name"]:
             continue
-        name, rest = tag["name"].lower(), tag["rest"]
+        name = tag["name"].lower()
         if name in UNREAD:
             if not tag["end"] and not rest.endswith("/"):
-                end = next((m for m in RAW.finditer(page, at) if m[1].lower() == name), None)
-                at = end.end() if end else length
+                raw = next((m for m in RAW.finditer(page, at) if m[1].lower() == name), None)
+                at = skip = raw.end() if raw else len(page)
             continue
         if name == "br":
             out.append(Token("", 0, " ", block, bool(apart), bool(labels), article))
@@ -145,85 +176,62 @@ def tokens(page: str) -> list[Token]:
             links = 0 if tag["end"] else 1
         if name in BLOCKS or name in SET_APART:
             block += 1
-            names = [x for x, _, _ in stack]
             if tag["end"]:
-                if name in names:
-                    close(len(names) - 1 - names[::-1].index(name))
+                if open_[name]:
+                    # What is popped was pushed once, so this is linear over the page.
+                    upto = len(stack) - 1
+                    while stack[upto][0] != name:
+                        upto -= 1
+                    close(upto)
             else:
-                if names and (names[-1] == "p" or (name == names[-1] and name in ("li", "td", "th", "tr", "dt", "dd"))):
-                    close(len(names) - 1)
+                top = stack[-1][0] if stack else ""
+                if top == "p" or (name == top and name in ("li", "td", "th", "tr", "dt", "dd")):
+                    close(len(stack) - 1)
                 if name not in VOID:
                     own = sets_apart(name, labels > 0)
-                    marked = not apart and not own and named_apart(name, rest)
-                    container = Container(len(out), marked) if marked or name in ("article", "main") else None
+                    says = "" if apart or own else named_apart(name, rest)
+                    container = Container(len(out), says) if says else None
                     if container:
                         containers.append(container)
+                        named += says == NAMED
+                    if name in ones:
+                        ones[name].append(len(out))
                     stack.append((name, own, container))
+                    open_[name] += 1
                     apart += own
                     labels += name in ("article", "main")
                     if name == "article" and not article:
                         article = articles = articles + 1
-            out.append(Token(f"tag {name}", 0, "", block, bool(apart), bool(labels), article))
-            if name in HEADINGS:
-                headings.append(len(out) - 1)
+            says = "tag named" if container_opened(containers, out) else f"tag {name}"
+            out.append(Token(says, 0, "", block, bool(apart), bool(labels), article))
             links = 0
         else:
             out.append(Token(f"tag {name if name in ('a', 'b', 'i', 'em', 'strong', 'span', 'img') else 'other'}", 0, "", block, bool(apart), bool(labels), article))
-    if any(c.marked for c in containers):
-        close(0)
-        _set_apart_named(out, containers, headings)
-    return out
-
-
-def _set_apart_named(out: list[Token], containers: list[Container], headings: list[int]) -> None:
-    """Sets apart what stands in marked containers without a heading or article, if those of one
-    scope (the innermost container that stays, else the page) hold less than half of its words
-    together. The tags of the other marked ones become a kind of their own."""
-    before = [0]
-    for t in out:
-        before.append(before[-1] + (0 if t.apart else t.words))
-    held = lambda c: before[c.end] - before[c.start]
-    page = Container(0, False, len(out))
-    inside: dict[int, list[Container]] = {id(page): []}
-    above = [page]
-    for c in containers:  # in the order of their starts
-        while c.start >= above[-1].end:
-            above.pop()
-        inside[id(above[-1])].append(c)
-        inside[id(c)] = []
-        above.append(c)
-    scopes = [page]
-    while scopes:
-        scope = scopes.pop()
-        # An article or main element, and a container with a heading, stay and are scopes of their own.
-        able = [c for c in inside[id(scope)] if c.marked and not _has_heading(c, headings)]
-        total, half = sum(map(held, able)), held(scope) / 2
-        # A container that alone holds half of the words stays and does not count against the others.
-        large = [c for c in able if held(c) >= half]
-        small = [c for c in able if held(c) < half]
-        if total - sum(map(held, large)) >= half:
-            small = []
-        gone = set(map(id, small))
-        for c in inside[id(scope)]:
-            if id(c) in gone:
-                for t in out[c.start : c.end]:
-                    t.apart = True
-            else:
-                scopes.append(c)
-                if c.marked:
-                    out[c.start].kind = "tag named"
+    close(0)
+    only = [places[0] for places in ones.values() if len(places) == 1]
+    comments = [c for c in containers if c.says == COMMENTS and not any(c.start <= i < c.end for i in only)]
+    set_apart(out, comments)
+    return out, [c for c in containers if c.says == NAMED]
+
+
+def container_opened(containers: list[Container], out: list[Token]) -> bool:
+    """Whether the tag now read has opened a named container."""
+    return bool(containers) and containers[-1].start == len(out) and containers[-1].says == NAMED
 
 
-def _has_heading(c: Container, headings: list[int]) -> bool:
-    """Whether a heading, article or main element is or begins in the container."""
-    at = bisect.bisect_left(headings, c.start)
-    return at < len(headings) and headings[at] < c.end
+def set_apart(out: list[Token], containers: list[Container]) -> None:
+    """Marks the tokens of the containers, which are in the order of their starts; each token once."""
+    done = 0
+    for c in containers:
+        for i in range(max(done, c.start), c.end):
+            out[i].apart = True
+        done = max(done, c.end)
 
 
 def label_counts(page: str) -> Counter:
     """(kind, inside) -> count, for a page whose content is marked; else nothing. A tag counts
     with the side it stands on."""
-    seen = tokens(page)
+    seen, _ = tokens(page)
     if not any(t.labelled and t.words for t in seen):
         return Counter()
     counts: Counter = Counter()
@@ -259,7 +267,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    seen = tokens(page)
+    seen, named = tokens(page)
     default = {"w": WORD_WEIGHT, "t": TAG_WEIGHT} if not weights else {"w": FLOOR, "t": -CEILING}
 
     def score(t: Token) -> float:
@@ -268,6 +276,11 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         return weights.get(t.kind, default[t.kind[0]]) * (t.words or 1)
 
     start, end = best_region([score(t) for t in seen])
+    # A named container with the whole region inside is where the content is; others are not content.
+    beside = [c for c in named if not (c.start <= start and end <= c.end)]
+    if beside:
+        set_apart(seen, beside)
+        start, end = best_region([score(t) for t in seen])
     if start == end:
         return ""
     first, last = seen[start].block, seen[end - 1].block
@@ -316,14 +329,17 @@ def _extract(weights: dict[str, float]):
     return run
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: int = LABELLED
+) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null and empty pages, and pages whose best region is empty, have an empty text. Ids and urls
-    are passed on as they are, null and repeated ones too; other columns are not read; an empty
-    table gives no rows.
+    The weights come from at most `labelled` pages. Null and empty pages, and pages whose best region
+    is empty, have an empty text. Very long pages are read whole, in linear time. Ids and urls are
+    passed on as they are, null and repeated ones too; other columns are not read; an empty table
+    gives no rows.
     """
-    weights = fit_weights(pages, id_col, html_col)
+    weights = fit_weights(pages, id_col, html_col, labelled)
     kind = pages.schema[id_col].dataType.simpleString()
     chosen = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return chosen.mapInArrow(_extract(weights), f"page_id {kind}, url string, text string, n_chars long")
