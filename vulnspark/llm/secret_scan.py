@@ -1,8 +1,8 @@
 """Secrets in texts by assignment-aware lexing.
 
 Three base patterns are found wherever they stand. Beyond them, every `name = literal` of
-source or configuration syntax (=, :, :=, =>, with or without quotes) is parsed into a pair,
-names assigned from other names pass their literals on, and a literal is reported when the
+source or configuration syntax (=, :, :=, =>, with or without quotes, joined by +, in nested
+braces) is parsed into a pair, names assigned from other names pass their literals on, and a literal is reported when the
 names it reaches are sensitive enough for how random it looks.
 """
 
@@ -31,6 +31,12 @@ VALUE = re.compile(
     r"[ \t]*(?:[rbuf]{0,2}(?P<quote>\"\"\"|'''|\"|'|`)(?P<text>.*?)(?<!\\)(?P=quote)|(?P<name>[A-Za-z_][\w.]*)(?![\w+/=-])|(?P<bare>[\w+/.=\-]+))",
     re.DOTALL,
 )
+BRACE = re.compile(r"[{}]")
+#: A value that is an object or block with names of its own.
+OPENED = re.compile(r"\s*\{")
+PLUS = re.compile(r"[ \t]*\+\s*(?=[\"'`\w])")
+#: So many names around one count as its own.
+NESTED = 4
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How far a part of a name makes its literal a secret; the rest of the score is randomness.
 SENSITIVE = {
@@ -58,55 +64,90 @@ def literal_score(literal: str) -> float:
     return min(1.0, entropy / 4 * 0.7 + (kinds - 1) * 0.3) if kinds > 1 else min(0.5, entropy / 8)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, whether the value is a name) of every assignment, in order."""
-    for op in OPERATOR.finditer(text):
-        end = op.start()
-        while end and text[end - 1] in " \t":
-            end -= 1
-        if end and text[end - 1] in "\"'`]":
+def _name_before(text: str, end: int) -> str:
+    """The name, quoted or not, that ends before this place on its line."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'`]":
+        end -= 1
+        if end and text[end - 1] in "\"'`":
             end -= 1
-            if end and text[end - 1] in "\"'`":
-                end -= 1
-        start = end
-        while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
-            start -= 1
-        name = text[start:end].strip(".-")
-        if not name or name[0].isdigit():
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    name = text[start:end].strip(".-")
+    return "" if name[:1].isdigit() else name
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, int, int, list[str]]]:
+    """(name, literal, start, end, names) of every assignment, in order.
+
+    Constants joined by + are one literal from the first to the last; `names` are the names among
+    the parts. A name inside braces that a name opens is written behind that one, with a dot."""
+    open_: list[str] = []
+    done = 0
+    for op in OPERATOR.finditer(text):
+        for brace in BRACE.finditer(text, done, op.start()):
+            if brace[0] == "{":
+                open_.append("")
+            elif open_:
+                open_.pop()
+        done = max(done, op.start())
+        name = _name_before(text, op.start())
+        if not name:
             continue
-        value = VALUE.match(text, op.end())
-        if value:
+        path = ".".join([*filter(None, open_[-NESTED:]), name])
+        opened = OPENED.match(text, op.end())
+        if opened:
+            open_.append(name)
+            done = opened.end()
+            continue
+        literal, names, first, last, at = [], [], -1, -1, op.end()
+        while value := VALUE.match(text, at):
             group = "text" if value["quote"] else "name" if value["name"] else "bare"
-            yield name, value[group], value.start(group), value.end(group), group == "name"
+            first, last = value.start(group) if first < 0 else first, value.end(group)
+            if group == "name":
+                names.append(value["name"])
+            literal.append(value[group])
+            plus = PLUS.match(text, value.end())
+            if not plus:
+                break
+            at = plus.end()
+        if first >= 0:
+            yield path, "".join(literal), first, last, names
 
 
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals that reach a sensitive name, in order. A name that is
-    assigned from another takes over its literals, through any number of steps."""
+    assigned from another takes over its literals, through any number of steps.
+
+    Names are visited from the most sensitive one on, each name once, by the first that reaches it:
+    that one is its best, and the work is linear in the assignments."""
     if "=" not in text and ":" not in text:
         return []
     own: dict[str, dict[tuple[int, int], str]] = defaultdict(dict)
     taken: dict[str, set[str]] = defaultdict(set)
-    for name, value, start, end, is_name in pairs(text):
-        if is_name:
-            taken[name].add(value)
+    for name, value, start, end, names in pairs(text):
+        taken[name].update(names)
         # An unquoted word is a name in source and a literal in configuration.
         own[name][start, end] = value
-    scores = {name: name_score(name) for name in {*own, *taken}}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-    for target in sorted(n for n, s in scores.items() if s > 0):
-        reached, todo = {target}, [target]
+    scores = {name: name_score(name) for name in own}
+    best: dict[str, str] = {}
+    for target in sorted((n for n, s in scores.items() if s > 0), key=lambda n: (-scores[n], n)):
+        todo = [target]
         while todo:
-            for source in taken.get(todo.pop(), ()):
-                if source not in reached:
-                    reached.add(source)
-                    todo.append(source)
-        for name in sorted(reached):
-            for place, value in own.get(name, {}).items():
-                score = scores[target] + literal_score(value) if value not in own else 0.0
-                if score >= LEAST_SCORE and score > found.get(place, ("", 0.0))[1]:
-                    found[place] = (target, score)
-    return [(start, end, *found[start, end]) for start, end in sorted(found)]
+            name = todo.pop()
+            if name not in best:
+                best[name] = target
+                todo.extend(taken.get(name, ()))
+    found: dict[tuple[int, int], tuple[float, str]] = {}
+    for name, target in best.items():
+        for place, value in own.get(name, {}).items():
+            score = scores[target] + literal_score(value) if value not in own else 0.0
+            if score >= LEAST_SCORE:
+                # Of equal scores the alphabetically first name.
+                found[place] = min(found.get(place, (-score, target)), (-score, target))
+    return [(start, end, found[start, end][1], -found[start, end][0]) for start, end in sorted(found)]
 
 
 def spans(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -137,8 +178,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, spans (kind, start, end, name, score) of the whole text.
 
-    Null and empty texts have no spans. Ids are passed on as they are, null and repeated ones
-    too; other columns are not read; an empty table gives no rows. One pass, no shuffle.
+    Null and empty texts have no spans; very long ones are read whole, in linear time. Ids are passed
+    on as they are, null and repeated ones too; other columns are not read; an empty table gives no rows. One pass, no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,name:string,score:double>>"
