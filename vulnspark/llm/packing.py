@@ -227,15 +227,17 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the id `end` alone; a null id is kept; rows repeating an id are
-    packed one by one; other columns are not read; an empty table gives no rows. `group` is the
-    number of pieces one task ranks at a time, the rest follows from it: no piece is left out.
+    packed one by one; other columns are not read; an empty table gives no rows. `group` is about
+    how many pieces of a length are ranked together; each length is salted by its own count, and no
+    piece is left out. Very long texts are whole, in pieces.
     """
     store = Store(docs.sparkSession)
     cut = store.save(pieces(docs, tokenizer_path, id_col, text_col, size, end), "pieces")
     # At most `size` rows.
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, -(-sum(counts.values()) // group))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    salts = F.lit([max(1, -(-counts.get(n, 0) // group)) for n in range(size + 1)])
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.element_at(salts, F.col("length").cast("int") + 1))
+    salted = cut.withColumn("salt", salt)
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
