@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import SMALL
 from tokenizers import Tokenizer
 
 from vulnspark.llm import decontamination as D
@@ -200,6 +203,69 @@ def test_bounds_lose_nothing():
         assert {m[0] for m in index.matches(text, 0.6, 0.3)} == want
 
 
+def plain_bm25(items, text, threshold=D.THRESHOLD, overlap=D.OVERLAP):
+    """(item, score) by the formula itself, over every passage: no index, no bounds."""
+    words_of = lambda t: re.findall(r"\w+", (t or "").lower())
+    bags = {i: words_of(t) for i, t in items if words_of(t)}
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    idf = {}
+    for w in {w for b in bags.values() for w in b}:
+        df = sum(w in b for b in bags.values())
+        idf[w] = max(0.05, math.log((n - df + 0.5) / (df + 0.5)))
+    step, found, words = max(map(len, bags.values())), {}, words_of(text)
+    grams = lambda ws, k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+    for start in range(0, len(words), step):
+        inside = words[start : start + 2 * step]
+        for item, bag in bags.items():
+            weight = lambda w: idf[w] * bag.count(w) * 2.2 / (bag.count(w) + 1.2 * (0.25 + 0.75 * len(bag) / mean))  # noqa: B023, E731
+            score = sum(weight(w) for w in set(bag) if w in inside) / sum(weight(w) for w in set(bag))
+            if score < threshold - 1e-9:
+                continue
+            raw = next(t for i, t in items if i == item)
+            sentences = [s for s in map(words_of, re.split(r"(?<=[.!?])\s+", raw)) if s]
+            cut = len(bag) - len(bag) // 4
+            question, answer = ([w for s in sentences[:-1] for w in s], sentences[-1]) if len(sentences) > 1 else (bag[:cut], bag[cut:])
+
+            def share(part):
+                own = grams(part, min(3, len(part))) if part else set()
+                return sum(g in grams(inside, len(g)) for g in own) / len(own) if own else 1.0  # noqa: B023
+
+            if len(bag) < 8:
+                both = 1.0 if tuple(bag) in grams(inside, len(bag)) else 0.0
+            else:
+                by_word = len(set(answer) & set(inside)) / len(set(answer)) if 0 < len(answer) < 8 else 0.0
+                both = min(share(question), max(share(answer), by_word))
+            if both >= overlap:
+                found[item] = max(found.get(item, 0.0), score)
+    return found
+
+
+@pytest.mark.parametrize("most", [5, 20_000])
+def test_contamination_is_that_of_plain_bm25_whatever_the_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "ITEMS", most)
+    rng, vocabulary = random.Random(21), [f"w{i}" for i in range(80)]
+    say = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    items = [(i, f"{say(rng.randint(4, 25))}? {say(rng.randint(1, 9))}." if i % 3 else say(rng.randint(1, 12))) for i in range(60)]
+    items += [(100, None), (101, "..."), (7, "told twice: an item of one number")]
+    rows = []
+    for i in range(80):
+        own = [w if rng.random() > 0.08 else "other" for w in items[rng.randrange(60)][1].split()]
+        rows.append((i, f"{say(rng.randint(0, 80))} {' '.join(own)} {say(rng.randint(0, 80))}"))
+    bench = [x for x in items if x[0] != 7 or x[1].startswith("told")]
+    got = D.contaminated(table(spark, rows), spark.createDataFrame(bench, "item_id long, text string").repartition(3)).collect()
+    want = {(i, item): score for i, text in rows for item, score in plain_bm25(bench, text).items()}
+    assert {(r.doc_id, r.item_id) for r in got} == set(want) and len(want) > 30
+    # A passage of more overlap may be reported in place of the one of the greatest score.
+    assert all(r.score <= want[r.doc_id, r.item_id] + 1e-9 for r in got)
+
+
+def test_an_item_given_twice_is_reported_twice_and_a_short_answer_may_change_a_word(spark):
+    item = "In which of the many old harbour towns on the northern coast did the long voyage of the famous captain finally come to its end? It was Bergen."
+    text = item.replace("was", "is").lower()
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "Something else that nobody asks about in any of these texts at all? No.")], "item_id long, text string")
+    assert [r.item_id for r in D.contaminated(table(spark, [(1, text)]), bench).collect()] == [1, 1]
+
+
 def test_contaminated(spark):
     items = spark.createDataFrame(
         [(1, "What is the capital of the far northern island? Its name is Longyearbyen town."), (2, ""), (3, None), (4, "Yes it is.")],
@@ -264,13 +330,14 @@ def test_swaps_flatten_the_score_of_group_names():
     vocabulary = sorted({f for _, t in rows for f in T.text_features(T.WORD.findall(t))} | {f for n in names for f in T.word_features(n)})
     index = {f: k for k, f in enumerate(vocabulary)}
     own = [[index[f] for f in T.text_features(T.WORD.findall(t))] for _, t in rows]
-    pairs = [p for _, t in rows for p in T.swapped(t)]
+    pairs = sum((T.swapped(t) for _, t in rows), Counter())
     gained = [[index[f] for f in a if f in index] for a, _ in pairs]
     lost = [[index[f] for f in b if f in index] for _, b in pairs]
+    times = np.array(list(pairs.values()), float)
     labels = np.array([x for x, _ in rows], float)
     gaps = {}
     for penalty in (0.0, 10.0):
-        w, b = T.fit_weights(labels, own, gained, lost, len(index), penalty)
+        w, b = T.fit_weights(labels, own, gained, lost, times, len(index), penalty)
         model = T.Model({f: w[k] for f, k in index.items()}, b)
         score = lambda t: model.score(T.text_features(T.WORD.findall(t)))  # noqa: E731, B023
         gaps[penalty] = abs(score("some muslims met here. a calm day") - score("some christians met here. a calm day"))
@@ -278,6 +345,50 @@ def test_swaps_flatten_the_score_of_group_names():
     assert gaps[10.0] < 0.05 < gaps[0.0]
 
 
+def test_swaps_equal_those_of_rebuilt_texts():
+    rng, words = random.Random(4), [*T.OTHERS, "house", "meet", "atheism", "blacksmith", "the"]
+    for _ in range(150):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", ".", "!", "\n"]) for _ in range(rng.randint(0, 25)))
+        sentences = [T.WORD.findall(s) for s in T.SENTENCE.split(text)]
+        before, want = T.text_features(w for s in sentences for w in s), Counter()
+        for i, own in enumerate(sentences):
+            rest = [w for j, s in enumerate(sentences) if j != i for w in s]
+            for name in T.OTHERS.keys() & set(own):
+                for other in T.OTHERS[name]:
+                    after = T.text_features([*rest, *(other if w == name else w for w in own)])
+                    want[tuple(sorted(after - before)), tuple(sorted(before - after))] += 1
+        assert T.swapped(text) == want
+
+
+def test_swaps_of_a_long_text_take_linear_time():
+    start = time.perf_counter()
+    pairs = T.swapped("Some muslims met here with a calm day. " * 20_000)
+    assert time.perf_counter() - start < 5 and sum(pairs.values()) == 100_000 and len(pairs) <= 10
+
+
+def test_weights_are_those_of_the_plain_objective():
+    """Against plain gradient descent on the objective as it is written."""
+    rng = random.Random(6)
+    labels = np.array([i % 2 for i in range(40)], float)
+    own = [sorted({0 if y else 1, *rng.sample(range(2, 6), 2)}) for y in labels.astype(int)]
+    gained, lost, times = [[2], [3, 4]], [[3], [2]], np.array([3.0, 1.0])
+    w, b = T.fit_weights(labels, own, gained, lost, times, 6, penalty=2.0, steps=4000)
+
+    has = np.array([[f in features for f in range(6)] for features in own], float)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-(v[6] + has @ v[:6])))
+        fit = -np.log(np.where(labels == 1, p, 1 - p)).sum() * 0.5 / 20
+        changes = [sum(v[f] for f in g) - sum(v[f] for f in s) for g, s in zip(gained, lost, strict=True)]
+        return fit + 1e-3 * (v[:6] ** 2).sum() + 2.0 * sum(t * c * c for t, c in zip(times, changes, strict=True)) / times.sum()
+
+    best, step = np.zeros(7), 1e-5
+    for _ in range(4000):
+        slope = np.array([loss(best + e) - loss(best - e) for e in np.eye(7) * step]) / (2 * step)
+        best = best - 0.1 * slope
+    assert loss(np.array([*w, b])) < loss(best) * 1.02
+
+
 def test_toxicity_learns_and_handles_edges(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
@@ -296,7 +407,7 @@ def test_toxicity_learns_and_handles_edges(spark):
     kept = T.remove_toxic(table(spark, rows), marks)
     assert kept.columns == table(spark, rows).columns
     assert {1000, 1001} <= {r.doc_id for r in kept.collect()}
-    assert all(r.score == 0.5 for r in T.toxicity(table(spark, rows), marks.limit(0)).collect())
+    assert all(r.score < 0.5 and r.predicted == 0 for r in T.toxicity(table(spark, rows), marks.limit(0)).collect())
     assert T.toxicity(table(spark, []), marks).count() == 0
 
 
@@ -309,7 +420,8 @@ def test_nothing_is_removed_where_nothing_is_learned(spark, labels):
     assert kept.columns == table(spark, rows).columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows)
     got = T.toxicity(table(spark, rows), marks).collect()
-    assert len(got) == len(rows) and all(r.score == 0.5 and r.predicted == 0 for r in got)
+    assert len(got) == len(rows) and len({r.score for r in got}) == 1
+    assert all(r.predicted == (r.score >= 0.5) == 0 for r in got)
 
 
 # pages
@@ -356,6 +468,71 @@ def test_class_names_of_main_containers_remove_nothing(name, tag):
         assert H.main_text(page, weights) == " ".join(["text"] * 60)
 
 
+COMMENTS = "<div class=comments>{}" + "<p>" + "nice post " * 8 + "</p></div>"
+
+
+@pytest.mark.parametrize("times", [1, 3, 12])
+@pytest.mark.parametrize("head", ["", "<h3>3 comments</h3>", "<h2>Replies</h2><p>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<article>{0}</article>{1}", "<div><h1>Title</h1>{}</div>", "<div>{0}</div>{1}"])
+def test_reader_comments_leave_at_any_size(around, head, times):
+    body = "<p>" + " ".join(["body"] * 40) + "</p>"
+    box = COMMENTS.format(head).replace("nice post ", "nice post " * times)
+    page = "<body><nav>menu</nav>" + (around.format(body, box) if "{1}" in around else around.format(body + box)) + "</body>"
+    for weights in ({}, {"word p": 1.0, "word h1": 1.0, "tag p": -0.5, "tag div": -1.0, "tag h1": -0.5, "tag article": -0.5}):
+        text = H.main_text(page, weights)
+        assert "body" in text and not {"nice", "post", "comments", "Replies"} & set(text.split())
+
+
+def test_a_wrapper_named_comments_with_the_only_article_stays():
+    page = "<body><div class='comments-page'><article><h1>Head</h1><p>" + "text " * 30 + "</p></article><div id=comments><p>hi all</p></div></div></body>"
+    assert H.main_text(page, {}) == "Head\n\n" + " ".join(["text"] * 30)
+
+
+def test_named_containers_beside_the_region_leave_at_any_size():
+    for n in (1, 40):
+        ad = "<div class='ad-box'><h4>Buy</h4><p>" + "cheap " * n + "</p></div>"
+        page = f"<body><div><p>{'body ' * 60}</p>{ad}<p>{'more ' * 60}</p></div></body>"
+        assert H.main_text(page, {}) == " ".join(["body"] * 60) + "\n\n" + " ".join(["more"] * 60)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<a ", "<div class=comments>", "<div class=ad>", '<a "', "<p", "</div>", "<article>x", "<!-", "<script"])
+def test_long_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    H.main_text("<p>text</p>" + piece * 200_000, {})
+    assert time.perf_counter() - start < 12
+
+
+def test_region_of_real_pages_is_the_best_of_all(spark):
+    """All contiguous runs of the tokens of real pages, and their blocks."""
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").limit(15).collect()]
+    weights = {"word p": 0.3, "tag p": -0.4, "tag div": -2.0, "tag li": -1.0}
+    for page in pages:
+        seen, _ = H.tokens(page)
+        scores = [weights.get(t.kind, 0.1 if t.words else -1.0) * (t.words or 1) if t.kind and not (t.apart and t.words) else 0.0 for t in seen]
+        sums = np.concatenate([[0.0], np.cumsum(scores)])
+        best = max(float((sums[i + 1 :] - sums[i]).max()) for i in range(len(scores)))
+        a, b = H.best_region(scores)
+        assert sums[b] - sums[a] == pytest.approx(max(0.0, best))
+
+
+def test_pages_with_a_plain_answer(spark):
+    """Pages written around a known text, which their own labelled neighbours teach."""
+    rng, rows, want = random.Random(12), [], {}
+    say = lambda k: " ".join(rng.choice("alpha beta gamma delta river stone cloud".split()) for _ in range(k))
+    for i in range(60):
+        blocks = [say(3), *(say(rng.randint(15, 60)) for _ in range(rng.randint(2, 5)))]
+        content = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        content = content.replace("</p><p>", f"</p><div class='promo'><p>{say(rng.randint(3, 30))}</p></div><p>", 1)
+        shell = "<article>{}</article>" if i % 3 else "<div class='post has-sidebar'>{}</div>"
+        menu = "<nav><ul>" + "".join(f"<li><a href=x>{say(1)}</a></li>" for _ in range(8)) + "</ul></nav>"
+        side = "<div class=sidebar><h3>More</h3><ul>" + "".join(f"<li><a href=y>{say(3)}</a></li>" for _ in range(9)) + "</ul></div>"
+        comments = f"<section id='comments'><h2>{say(2)}</h2>" + "".join(f"<p>{say(25)}</p>" for _ in range(rng.randint(0, 9))) + "</section>"
+        rows.append((i, f"u{i}", f"<html><body><header>{say(4)}</header>{menu}{shell.format(content)}{side}{comments}<footer>{say(6)}</footer></body></html>"))
+        want[i] = "\n\n".join(blocks)
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(10)
     for _ in range(200):
@@ -365,6 +542,79 @@ def test_region_is_the_best_of_all():
         assert sum(scores[a:b]) == max([0, *sums])
 
 
+# secrets
+
+
+def plain_base_spans(text):
+    """The base kinds by patterns of their own, character classes spelled out."""
+    word = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    found = [("assign", *m.span()) for m in re.finditer(word + "[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) > 7]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) > 15]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) > 31]
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(31)
+    parts = ["password", "Secret", "API_KEY", "apikey", "token", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH1234", "0f3a" * 5, "deadbeef" * 4, "x", "Zz9+/", "\n", "é", "\t", "{", "}", "+"]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert [x[:3] for x in S.spans(text) if x[0] != "literal"] == plain_base_spans(text)
+
+
+def reported(text):
+    return {text[a:b]: name for _, a, b, name, _ in S.spans(text)}
+
+
+def test_literals_reach_names_through_constants_joins_and_nesting():
+    value = "Zx81kPq72LmWv05T"
+    assert reported(f'base = "{value}"\nmiddle = base\nclient_secret_x = middle') == {value: "client_secret_x"}
+    assert reported(f'db_pwd = "{value[:8]}" + "{value[8:]}"') == {f'{value[:8]}" + "{value[8:]}': "db_pwd"}
+    assert reported(f'head = "{value}"\nsession_jwt = head + suffix') == {value: "session_jwt"}
+    nested = '{"client_key": {"value": "%s", "hint": "plain words"}, "colour": "%s"}' % (value + "-9Q", value)
+    assert reported(nested) == {value + "-9Q": "client_key.value"}
+    assert reported(f'colour = "{value}"') == {}
+
+
+def slow_literals(text):
+    """Every name walked to from every sensitive one."""
+    own, taken = defaultdict(dict), defaultdict(set)
+    for name, value, start, end, names in S.pairs(text):
+        taken[name].update(names)
+        own[name][start, end] = value
+    found = {}
+    for target in sorted(own, key=lambda n: (-S.name_score(n), n)):
+        reached, todo = set(), [target]
+        while todo:
+            name = todo.pop()
+            if name not in reached:
+                reached.add(name)
+                todo.extend(taken.get(name, ()))
+        for name in reached if S.name_score(target) > 0 else ():
+            for place, value in own.get(name, {}).items():
+                score = S.name_score(target) + S.literal_score(value) if value not in own else 0.0
+                if score >= S.LEAST_SCORE:
+                    found[place] = min(found.get(place, (0.0, "")), (-score, target))
+    return [(a, b, found[a, b][1], -found[a, b][0]) for a, b in sorted(found)]
+
+
+def test_propagation_equals_a_walk_from_every_name():
+    rng = random.Random(33)
+    names = ["auth_token", "pwd", "secret_salt", "a", "b", "c", "d", "jwt", "signing_key"]
+    for _ in range(300):
+        lines = [f"{rng.choice(names)} = {rng.choice([*names, 'Zx81kPq72LmWv05T' + str(rng.randint(0, 9))])}" for _ in range(rng.randint(1, 25))]
+        text = "\n".join(x if rng.random() < 0.5 else re.sub("(Zx.*)", r'"\\1"', x) for x in lines)
+        assert S.literals(text) == slow_literals(text)
+
+
+def test_long_chains_take_linear_time():
+    start = time.perf_counter()
+    text = "".join(f"secret_pwd{i} = secret_pwd{i + 1}\n" for i in range(40_000)) + 'secret_pwd40000 = "Zx81kPq72LmWv05T"'
+    assert len(S.literals(text)) == 1
+    S.spans("{" * 100_000 + 'a="' * 100_000)
+    assert time.perf_counter() - start < 20
+
+
 # licences
 
 
