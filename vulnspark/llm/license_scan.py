@@ -118,8 +118,11 @@ VARIANTS = 20
 LONGEST = 6
 LEAST_COVER = 0.6
 LEAST_PROBABILITY = 0.5
-#: Documents the unknown class is also learned from at most, in hash order of their ids.
-SAMPLE = 500
+#: The unknown class is also learned from so many lines at most, of so many documents at most, both
+#: in hash order; the lines are taken whole.
+SAMPLE, LINES = 500, 2_000
+#: The first words of the notices that are wrapped over lines: one of them begins another notice.
+WRAPPED, OPENING = 12, 3
 VOCABULARY = 2_000
 
 
@@ -183,10 +186,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return runs.select("doc_id", F.inline(F.zip_with("starts", "ends", run))).filter(_may_have_cue(F.array_join("lines", " ")))
 
 
-def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def labelled(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> DataFrame:
     """(family, held_out, paragraph): notices and other sentences, each in `VARIANTS` forms that lose
-    about an eighth of their words, and lines of sampled documents that hold no cue by
-    themselves, each opened by a cue: those are unknown."""
+    about an eighth of their words, and sampled lines of documents that hold no cue by themselves,
+    each opened by a cue: those are unknown."""
     given = [{"family": family, "text": text} for family, texts in NOTICES.items() for text in texts]
     given += [{"family": UNKNOWN, "text": text} for text in OTHERS]
     rows = _literal(given, "array<struct<family:string,text:string>>")
@@ -197,15 +200,17 @@ def labelled(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "family", (F.col("form") % 5 == 4).alias("held_out"), F.array_join(F.filter(F.split("text", " "), lambda w, i: ~lost(w, i)), " ").alias("paragraph")
     )
     key = F.xxhash64("doc_id")
-    some = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(key, "doc_id").limit(SAMPLE).distinct()
-    lines = (
+    some = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(key, "doc_id").limit(sample).distinct()
+    told = (
         docs.join(F.broadcast(some), "doc_id")
-        .select(key.alias("key"), F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line"))
+        .select(key.alias("key"), F.explode(F.split("text", "\n")).alias("line"))
         .filter(~has_cue(F.col("line")))
+        .orderBy(F.xxhash64("line", "key"), "line")
+        .limit(lines)
     )
     cues = F.array(*map(F.lit, CUES[:5]))
-    opened = F.concat_ws(" ", F.element_at(cues, (F.pmod(F.xxhash64("line"), F.lit(5)) + 1).cast("int")), F.substring("line", 1, 200))
-    return thinned.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), (F.pmod("key", F.lit(5)) == 4).alias("held_out"), opened.alias("paragraph")))
+    opened = F.concat_ws(" ", F.element_at(cues, (F.pmod(F.xxhash64("line"), F.lit(5)) + 1).cast("int")), F.col("line"))
+    return thinned.unionByName(told.select(F.lit(UNKNOWN).alias("family"), (F.pmod("key", F.lit(5)) == 4).alias("held_out"), opened.alias("paragraph")))
 
 
 @dataclass
@@ -234,10 +239,12 @@ def scored(df: DataFrame, model: Model) -> DataFrame:
     return odds.withColumn("guess", F.element_at(names, best)).withColumn("probability", F.array_max("odds") / total).drop("odds")
 
 
-def fit(spark: SparkSession, docs: DataFrame) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model:
     """Trains on the forms that are not held out; the threshold is the least probability, 0.5 at
     least, at which no held-out paragraph of the unknown class takes a family."""
-    sample = Store(spark).save(with_features(labelled(spark, docs), "paragraph"), "labelled")
+    # A few thousand rows: one partition saves the fit hundreds of tiny tasks.
+    given = labelled(spark, docs, sample, lines).coalesce(1)
+    sample = Store(spark).save(with_features(given, "paragraph"), "labelled")
     families = [*NOTICES, UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     train = sample.filter("NOT held_out").select(number.cast("double").alias("label"), "features")
@@ -279,27 +286,60 @@ def judged(model: Model, text: Column) -> Column:
     return let(_both(text), lambda both: let(_probabilities(model, both["features"]), lambda odds: confirmed(both, odds)))
 
 
-def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def openings() -> list[str]:
+    """The first words of the notices that are usually wrapped."""
+    words = [["".join(c for c in w if c.isalnum()) for w in t.lower().split()] for ts in NOTICES.values() for t in ts]
+    return sorted({f" {' '.join(w[:OPENING])} " for w in words if len(w) > WRAPPED})
+
+
+def pieces(lines: Column, left: Column) -> Column:
+    """The places in `left` cut before every line that holds the opening of a notice."""
+
+    def opens(i: Column) -> Column:
+        plain = F.concat(F.lit(" "), F.array_join(_words(F.get(lines, i)), " "), F.lit(" "))
+        return let(plain, lambda t: F.exists(F.array(*map(F.lit, openings())), lambda o: F.contains(t, o)))
+
+    def cut(starts: Column) -> Column:
+        end = lambda n: F.coalesce(F.get(starts, n + 1), F.size(left))
+        return F.transform(starts, lambda s, n: F.slice(left, s + 1, end(n) - s))
+
+    places = F.sequence(F.lit(0), F.greatest(F.size(left) - 1, F.lit(0)))
+    return let(F.filter(places, lambda k: (k == 0) | F.coalesce(opens(F.get(left, k)), F.lit(False))), cut)
+
+
+def find_licences(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, lines: int = LINES
+) -> DataFrame:
     """One row per licence notice: doc_id, line (from 0, the first), family, probability, cover,
     paragraph.
 
     Lines that are a notice by themselves are reported one by one. What else stands in their
-    paragraph, a run of lines between blank ones, is judged as a whole, so a notice may be wrapped
-    and commented; wrapped notices of one paragraph are reported as one, of the likeliest family.
+    paragraph, a run of lines between blank ones, is cut before every line that holds the first words
+    of a long notice; each piece is judged, so notices may be wrapped, commented and follow each
+    other. Where no piece is a notice, the paragraph is judged as a whole. The classifier is fitted
+    on the built-in notices and at most `lines` lines of `sample` documents.
 
-    Null and empty texts have none; a null id is reported as null; rows repeating an id are
+    Null and empty texts have none; very long ones are read whole; a null id is reported as null; rows repeating an id are
     scanned one by one; other columns are not read; an empty table gives no rows. One pass
     without a shuffle.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    model = fit(docs.sparkSession, docs)
+    model = fit(docs.sparkSession, docs, sample, lines)
     one = lambda line, text, x: F.when(x.isNotNull(), F.struct(line.alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), x["cover"].alias("cover"), text.alias("paragraph")))
     by_line = lambda line, i: F.when(has_cue(line), let(judged(model, line), lambda x: one(F.col("first") + i, line, x)))
     alone = paragraphs(docs).withColumn("alone", F.transform("lines", by_line))
     left = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("alone", i).isNull())
-    rest = alone.withColumn("left", left).withColumn("rest", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
-    # A single line is judged already.
-    whole = F.when((F.size("left") > 1) & _may_have_cue(F.col("rest")), judged(model, F.col("rest")))
-    wrapped = let(whole, lambda x: one(F.col("first") + F.get("left", F.lit(0)), F.col("rest"), x))
-    found = F.filter(F.concat("alone", F.array(wrapped)), lambda x: x.isNotNull())
+    rest = alone.withColumn("left", left).withColumn("pieces", pieces(F.col("lines"), F.col("left")))
+    told = F.when(F.size("pieces") > 1, F.concat("pieces", F.array("left"))).otherwise(F.col("pieces"))
+    text = lambda places: F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
+
+    def wrapped(places: Column) -> Column:
+        # A single line is judged already.
+        found = lambda t: let(judged(model, t), lambda x: one(F.col("first") + F.get(places, F.lit(0)), t, x))
+        return F.when(F.size(places) > 1, let(text(places), lambda t: F.when(_may_have_cue(t), found(t))))
+
+    rest = rest.withColumn("told", F.transform(told, wrapped))
+    some = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    own = some(F.slice("told", 1, F.size("pieces")))
+    found = F.concat(some("alone"), let(own, lambda x: F.when(F.size(x) > 0, x).otherwise(some("told"))))
     return rest.select("doc_id", F.inline(found))
