@@ -5,8 +5,8 @@ a maximal run of windows with one mark; equal windows have equal marks and so li
 of one mark. Distinct segments are dealt by mark to shards of bounded size. A shard is sorted
 by Larsson-Sadakane refinement and its common prefixes are computed by Kasai's scan, both in
 numpy: windows that share `LENGTH` bytes with a neighbour repeat. A mark with more segments
-than a shard takes is split over several, which are then merged: their distinct windows meet
-in ranges of window hashes, where equal hashes are grouped by a sort.
+than a shard takes is split over several, which are then merged: their distinct windows meet in
+ranges of window hashes, where the sorted windows of one shard are searched in those of another.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ GRAM = 40
 SEGMENTS = 2_000
 SHARD_BYTES = 1 << 20
 FOUND = (
-    "d1 long, d2 long, runs array<int>, mark long, part int, w1 long, w2 long, at int"  # runs: first and last of each
+    "d1 long, d2 long, runs array<int>, mark long, part int, w1 long, w2 long, at int, shard int"  # runs: first and last of each
 )
 
 
@@ -136,24 +136,24 @@ class Shard:
         # No window starts in the last bytes of a segment, so no run goes on into the next one.
         found = _runs(flags)
         bounds = np.searchsorted(found[:, 0], np.append(first, len(flags))).tolist()
-        for k, (_, _, d1, d2, copies, body) in enumerate(self.segments):
+        for k, (_, _, _, d1, d2, copies, body) in enumerate(self.segments):
             if copies > 1:
-                out.append((d1, d2, [0, len(body) - self.length], None, None, None, None, None))
+                out.append((d1, d2, [0, len(body) - self.length], *[None] * 6))
             elif bounds[k] < bounds[k + 1]:
                 runs = (found[bounds[k] : bounds[k + 1]] - first[k]).ravel().tolist()
-                out.append((d1, d2, runs, None, None, None, None, None))
+                out.append((d1, d2, runs, *[None] * 6))
         if split.any():
             one = places[changes(classes)]
             owner = np.searchsorted(first, one, "right") - 1
             for place, k in zip(one.tolist(), owner.tolist(), strict=True):
-                mark, parts, d1, d2, _, body = self.segments[k]
+                mark, parts, part, d1, d2, _, body = self.segments[k]
                 if parts > 1:
                     at = place - int(first[k])
                     w = xxhash.xxh3_128_intdigest(body[at : at + self.length])
                     w1, w2 = w >> 64, w & (2**64 - 1)
-                    out.append((d1, d2, None, mark, w1 * parts >> 64, _signed(w1), _signed(w2), at))
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                    out.append((d1, d2, None, mark, w1 * parts >> 64, _signed(w1), _signed(w2), at, part))
+        columns = list(zip(*out, strict=True)) or [[]] * 9
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         names = [c.split()[0] for c in FOUND.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -222,22 +222,49 @@ def _sort_shards(length: int, shard_bytes: int):
                     yield shard.result()
                     shard = Shard(length)
                 last = (mark, part)
-                shard.add((mark, parts, d1, d2, copies, body))
+                shard.add((mark, parts, part, d1, d2, copies, body))
         if shard.segments:
             yield shard.result()
 
     return run
 
 
+def searched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal windows in two sorted lists (w1, w2): the first list searched in the second."""
+    low = np.searchsorted(b["w1"], a["w1"], "left")
+    high = np.searchsorted(b["w1"], a["w1"], "right")
+    found = np.full(len(a), -1, np.int64)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        same = b["w2"][low[open_]] == a["w2"][open_]
+        found[open_[same]] = low[open_[same]]
+        low[open_] += 1
+        open_ = open_[~same & (low[open_] < high[open_])]
+    here = np.flatnonzero(found >= 0)
+    return here, found[here]
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows of one range that stand in several shards: equal hashes are grouped by a sort."""
-    pairs = np.empty(table.num_rows, [("w1", "i8"), ("w2", "i8")])
+    """Windows of one range of hashes that stand in several shards of a mark.
+
+    Every shard brings its distinct windows in order. Two shards at a time are merged: those of the
+    shorter list are looked up in the longer one by binary search, and what is not found joins it."""
+    windows = np.empty(table.num_rows, [("w1", "i8"), ("w2", "i8"), ("row", "i8")])
+    windows["row"] = np.arange(table.num_rows)
     for c in ("w1", "w2"):
-        pairs[c] = table.column(c).to_numpy()
-    places = np.unique(pairs, return_inverse=True)[1]
-    ordered = np.sort(places)
-    times = np.searchsorted(ordered, places, "right") - np.searchsorted(ordered, places, "left")
-    return table.select(["d1", "d2", "at"]).filter(pa.array(times > 1))
+        windows[c] = table.column(c).to_numpy()
+    shard = table.column("shard").to_numpy()
+    windows = windows[np.lexsort((windows["w2"], windows["w1"], shard))]
+    edges = np.flatnonzero(np.diff(np.sort(shard))) + 1
+    lists = sorted(np.split(windows, edges), key=len)
+    repeats = np.zeros(table.num_rows, bool)
+    while len(lists) > 1:
+        short, long = lists[0], lists[1]
+        here, there = searched(short, long)
+        repeats[short["row"][here]] = repeats[long["row"][there]] = True
+        both = np.concatenate([long, np.delete(short, here)])
+        lists = sorted([*lists[2:], both[np.lexsort((both["w2"], both["w1"]))]], key=len)
+    return table.select(["d1", "d2", "at"]).filter(pa.array(repeats))
 
 
 def _remove(length: int):
@@ -273,7 +300,8 @@ def remove_repeated_bytes(
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in the same
-    document too. Null and empty texts have no bytes, texts below `length` lose none. Rows
+    document too. Null and empty texts have no bytes, texts below `length` lose none, very long ones
+    are cut into segments like any other. Rows
     repeating an id lose what any of them repeats at those places; a row of a null id loses
     nothing itself. Other columns are not read; an empty table gives no rows.
     """
