@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vulnspark.llm import decontamination as D
@@ -655,6 +656,40 @@ modification, are permitted provided that the following conditions are met:"""
         (3, f"/*\n{signed(bsd, ' *')}\r\n */\nint x;"),
         (4, f"SPDX-License-Identifier: Apache-2.0\n{gpl}"),
         (5, "He lost his license\nand asked the school\nfor permission."),
+        (6, f"{mit}\n{gpl}"),
+        (7, f"{signed(gpl, '#')}\n{signed(bsd, '#')}\n# and more text\n{signed(mit, '#')}"),
     ]
     got = {(r.doc_id, r.line, r.family) for r in L.find_licences(table(spark, rows)).collect()}
-    assert got == {(1, 2, "MIT"), (2, 2, "GPL"), (3, 1, "BSD"), (4, 0, "Apache"), (4, 1, "GPL")}
+    want = {(1, 2, "MIT"), (2, 2, "GPL"), (3, 1, "BSD"), (4, 0, "Apache"), (4, 1, "GPL"), (6, 0, "MIT"), (6, 4, "GPL")}
+    assert got == want | {(7, 0, "GPL"), (7, 4, "BSD"), (7, 7, "MIT")}
+
+
+def plain_judgement(model, text):
+    """Features, softmax and cover of the licence classifier in plain Python."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    cued = lambda t: any(c in t for c in L.CUES)
+    grams = {" ".join(words[i : i + n]) for n in range(1, L.LONGEST + 1) for i in range(len(words) - n + 1)}
+    margins = list(model.intercepts)
+    for g in sorted(g for g in grams if cued(g)):
+        for k, w in enumerate(model.weights.get(g, ())):
+            margins[k] += w
+    odds = [math.exp(m - max(margins)) for m in margins]
+    guess, probability = model.families[odds.index(max(odds))], max(odds) / sum(odds)
+    if guess == L.UNKNOWN or probability <= model.threshold:
+        return None
+    pairs = lambda own: set(zip(own, own[1:], strict=False))
+    told = [pairs("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in L.NOTICES[guess]]
+    cover = max(len(pairs(words) & t) / len(t) for t in told)
+    return (guess, round(probability, 9), round(cover, 9)) if cover >= L.LEAST_COVER else None
+
+
+def test_scores_are_those_of_the_plain_classifier(spark):
+    rng = random.Random(41)
+    docs = table(spark, [(i, "\n".join(rng.choice(L.OTHERS).split("the")[0] for _ in range(9))) for i in range(30)])
+    model = L.fit(spark, docs.select("doc_id", "text"))
+    texts = [t for ts in L.NOTICES.values() for t in ts] + list(L.OTHERS)
+    texts = [" ".join(w for w in t.split() if rng.random() > 0.15) for t in texts for _ in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.judged(model, F.col("t")).alias("x"))
+    got = [x and (x.family, round(x.probability, 9), round(x.cover, 9)) for _, x in df.collect()]
+    want = [plain_judgement(model, t) for t in texts]
+    assert got == want and sum(w is not None for w in want) > 40

@@ -63,3 +63,28 @@ def test_empty_table_and_null_id(spark):
     assert S.remove_repeated_bytes(none).count() == 0
     two = spark.createDataFrame([(None, "x" * 250), (1, "y" * 150)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in S.remove_repeated_bytes(two).collect()} == {None: 0, 1: 0}
+
+
+def test_sorted_windows_of_one_shard_are_found_in_another():
+    rng = random.Random(5)
+    for _ in range(50):
+        lists = []
+        for _ in range(2):
+            own = sorted({(rng.randint(-5, 5), rng.randint(-3, 3)) for _ in range(rng.randint(0, 25))})
+            lists.append(np.array([(a, b, i) for i, (a, b) in enumerate(own)], [("w1", "i8"), ("w2", "i8"), ("row", "i8")]))
+        here, there = S.searched(*lists)
+        plain = [x[["w1", "w2"]].tolist() for x in lists]
+        assert list(zip(here.tolist(), there.tolist())) == [(i, plain[1].index(w)) for i, w in enumerate(plain[0]) if w in plain[1]]
+
+
+@pytest.mark.parametrize("parts", [2, 7, 50])
+def test_shards_of_one_mark_merge_like_one(spark, parts):
+    """Documents around one common passage: its mark has many different segments."""
+    rng = random.Random(parts)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, edges = word(30), [word(9) for _ in range(8)]
+    texts = [f"{rng.choice(edges)}{word(3)}{passage}{word(2)}{rng.choice(edges)}" for _ in range(2 * parts + 10)]
+    texts += [None, "", texts[0]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, mark string")
+    got = S.remove_repeated_bytes(df, length=12, gram=4, segments=-(-len(texts) // parts), shard_bytes=200).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == dict(enumerate(brute(texts, 12)))
