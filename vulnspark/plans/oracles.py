@@ -719,6 +719,7 @@ ORACLES["hits_in_chunks"] = sql(
     "short_chunks",
     "digit_hits",
 )
+ORACLES["hits_in_chunks_sweep"] = ORACLES["hits_in_chunks"]
 ORACLES["label_chunks"] = sql(
     """SELECT c.file_path, start_byte,
        arg_min(label, struct_pack(line := line, r := labeler_rank, o := ord)) AS label,

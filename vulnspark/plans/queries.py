@@ -25,6 +25,7 @@ from vulnspark.operators import (
     scan,
     source,
     splits,
+    sweep,
 )
 from vulnspark.plans import inputs
 from vulnspark.plans.build import build_corpus
@@ -368,6 +369,14 @@ def hits_in_chunks(spark, sf):
     return found.select("package", "file_path", "window_index", "line", "label")
 
 
+@query
+def hits_in_chunks_sweep(spark, sf):
+    found = sweep.hits_in_chunks(
+        inputs.document_chunks(spark, sf), inputs.digit_hits(spark, sf), ["package", "file_path"]
+    )
+    return found.select("package", "file_path", "window_index", "line", "label")
+
+
 FILE_KEYS = ["package", "file_path"]
 
 
