@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.llm.common import Memo, Store, longs, rows, slices, text_of
 from vulnspark.llm.sieve import rolling
+from vulnspark.operators.arrow import list_array
 
 N = 5
 #: Similarity in hundredths.
@@ -56,24 +57,28 @@ def own_share(n, percent: int = PERCENT):
     return (n * percent + 99) // 100
 
 
-def _sets(n: int):
+def _sets(n: int, take):
+    """Size and digest of each document's set, and its first take(n) tokens in hash order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in batches:
-            sizes, digests = [], []
+        for batch in slices(batches):
+            sizes, digests, first = [], [], [np.empty(0, np.uint64)]
             for _, text in rows(batch):
                 own = shingles(text)
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                first.append(own[: take(len(own))])
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2"])
+            lists = list_array(np.array([len(f) for f in first[1:]], np.int64), longs(np.concatenate(first)))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "first"])
 
     return run
 
 
-def _tokens(n: int, take):
-    """(doc_id, token) of the first take(n) tokens of each document in hash order."""
+def _tokens(n: int):
+    """(doc_id, token) of every token of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -81,8 +86,8 @@ def _tokens(n: int, take):
             found, sizes = [np.empty(0, np.uint64)], []
             for _, text in rows(batch):
                 own = shingles(text)
-                found.append(own[: take(len(own))])
-                sizes.append(len(found[-1]))
+                found.append(own)
+                sizes.append(len(own))
             at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), longs(np.concatenate(found))], names=["doc_id", "token"])
 
@@ -259,14 +264,16 @@ def similar_components(
     store = Store(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    sets = store.save(texts.mapInArrow(_sets(n), f"doc_id {kind}, n long, s1 long, s2 long"), "sets")
+    prefix = lambda size: size - own_share(size, percent) + 1 + size // SIEVE if size else 0
+    shape = f"doc_id {kind}, n long, s1 long, s2 long, first array<long>"
+    sets = store.save(texts.mapInArrow(_sets(n, prefix), shape), "sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = store.save(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     schema = f"doc_id {kind}, token long"
-    prefix = lambda size: size - own_share(size, percent) + 1 + size // SIEVE
-    first = store.save(texts.join(chosen, "doc_id").mapInArrow(_tokens(n, prefix), schema), "prefixes")
+    firsts = sets.select("doc_id", "first").join(chosen, "doc_id")
+    first = store.save(firsts.select("doc_id", F.explode("first").alias("token")), "prefixes")
     often = store.save(first.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1").select("token"), "often")
     met = store.save(first.join(often, "token").groupBy("doc_id").agg(F.count("*").alias("met")), "met")
     store.drop(first, often)
@@ -275,7 +282,7 @@ def similar_components(
     sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
     left = store.save(met.join(sizes, "doc_id").filter(F.col("met") >= least).select("doc_id", "n"), "sieved")
 
-    tokens = store.save(texts.join(left.select("doc_id"), "doc_id").mapInArrow(_tokens(n, lambda size: size), schema), "tokens")
+    tokens = store.save(texts.join(left.select("doc_id"), "doc_id").mapInArrow(_tokens(n), schema), "tokens")
     tally = store.save(tokens.groupBy("token").agg(F.count("*").cast("int").alias("f")).filter("f > 1"), "tally")
     listed = F.sort_array(F.collect_list(F.struct("f", "token"))).alias("shared")
     shared = tokens.join(tally, "token").groupBy("doc_id").agg(listed).join(left, "doc_id").select("doc_id", "n", "shared")
