@@ -154,11 +154,23 @@ def test_files_are_found_from_statistics(spark, folder, capsys):
     table = spark.read.parquet(path)
     table.filter(F.col("scan_id").between("s11", "s11")).select("scan_id", "_metadata.file_name").explain("formatted")
     assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(scan_id,s11\)", capsys.readouterr().out)
-    names = retention.files_with(table, spark.createDataFrame([("s11",)], "scan_id string"))
+    names = retention.files_with(table, spark.createDataFrame([("s11",)], "scan_id string"), "scan_id")
     own = table.filter("scan_id = 's11'").select("_metadata.file_name").distinct().collect()
     assert names == sorted(r.file_name for r in own)
 
 
+def test_a_deleted_scan_leaves_with_its_findings(spark, folder):
+    path, deleted = table_of(spark, folder), spark.createDataFrame([("s11",), (None,), ("s3",)], "scan_id string")
+    scans = inputs.scans(spark, SMALL)
+    findings.clustered(scans.unionByName(scans.limit(1).withColumn("id", F.lit(None).cast("string"))), 5, ("id",)).write.parquet(f"{folder}/scans")
+    before = parts(f"{folder}/scans")
+    retention.delete_scans(spark, path, deleted, f"{folder}/scans")
+    assert {"s11", "s3"}.isdisjoint(r.scan_id for r in retention.read_current(spark, path).select("scan_id").distinct().collect())
+    left = [r.id for r in retention.read_current(spark, f"{folder}/scans").collect()]
+    assert sorted(left, key=str) == sorted([*({r.id for r in scans.collect()} - {"s11", "s3"}), None], key=str)
+    assert 0 < len(set(before) - set(parts(f"{folder}/scans"))) <= 2
+
+
 class Lost(Exception):
     pass
 

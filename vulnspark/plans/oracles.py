@@ -1052,6 +1052,12 @@ ORACLES["retention"] = sql(
     "findings",
 )
 ORACLES["retention_rewrite"] = ORACLES["retention"]
+ORACLES["scan_deletion"] = sql(
+    """SELECT s.id AS scan_id, count(f.id) AS n_findings FROM scans s JOIN findings f ON f.scan_id = s.id
+    WHERE s.id NOT IN (SELECT 's' || (n_nationkey * 2) FROM nation) GROUP BY 1""",
+    "scans",
+    "findings",
+)
 ORACLES["apply_dismissals_bucketed"] = ORACLES["apply_dismissals"]
 ORACLES["deep_findings_page"] = sql(
     """SELECT row_number() OVER (ORDER BY confidence DESC, id) - 1 AS place, id, scan_id, confidence

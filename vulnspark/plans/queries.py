@@ -735,6 +735,18 @@ def retention_rewrite(spark, sf):
     return rewriting.read_current(spark, path).select("id", "scan_id")
 
 
+@query
+def scan_deletion(spark, sf):
+    """Scans and findings after a deletion from both stored tables: findings left of each scan left."""
+    folder = work_folder(spark)
+    findings.clustered(inputs.findings(spark, sf), 16).write.parquet(f"{folder}/findings")
+    findings.clustered(inputs.scans(spark, sf), 4, findings.SCANS_ORDER).write.parquet(f"{folder}/scans")
+    rewriting.delete_scans(spark, f"{folder}/findings", inputs.deletions(spark, sf), f"{folder}/scans")
+    left = rewriting.read_current(spark, f"{folder}/findings").groupBy("scan_id").agg(F.count("*").alias("n_findings"))
+    kept = rewriting.read_current(spark, f"{folder}/scans").select(F.col("id").alias("scan_id"))
+    return kept.join(left, "scan_id", "full")
+
+
 @query
 def apply_dismissals_bucketed(spark, sf):
     """The same on stored tables of equal buckets, after the log was appended to and compacted."""

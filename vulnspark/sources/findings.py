@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vulnspark import schemas
 
 ROUND_DIGITS = 4
+#: Columns the stored tables are clustered by.
+FINDINGS_ORDER, SCANS_ORDER = ("scan_id", "id"), ("id",)
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,14 +48,13 @@ def stored_form(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"contributing_lines": lines, "probabilities": rounded})
 
 
-def clustered(findings: DataFrame, files: int | None = None) -> DataFrame:
-    """Rows in ranges of (scan_id, id), as the table is stored.
+def clustered(rows: DataFrame, files: int | None = None, order: tuple[str, ...] = FINDINGS_ORDER) -> DataFrame:
+    """Rows in ranges of `order`, as the table is stored.
 
     Ranges split a scan that holds most rows over many tasks, and keep each file's scan range
     short, so that reading one scan skips the other row groups.
     """
-    order = ("scan_id", "id")
-    ranges = findings.repartitionByRange(*order) if files is None else findings.repartitionByRange(files, *order)
+    ranges = rows.repartitionByRange(*order) if files is None else rows.repartitionByRange(files, *order)
     return ranges.sortWithinPartitions(*order)
 
 

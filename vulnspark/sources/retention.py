@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.sources.findings import clustered
+from vulnspark.sources.findings import FINDINGS_ORDER, SCANS_ORDER, clustered
 
 SWAP, COMMIT = "_swap-", "commit"
 
@@ -96,37 +96,49 @@ def finish_swaps(spark: SparkSession, path: str) -> None:
         folder.remove(swap)
 
 
-def files_with(table: DataFrame, deletions: DataFrame) -> list[str]:
-    """Names of the table's files that hold a deleted scan.
+def files_with(table: DataFrame, gone: DataFrame, key: str) -> list[str]:
+    """Names of the table's files that hold one of the keys `gone`.
 
-    Only the scan column is read. The least and the greatest deleted scan go to the Parquet reader
-    as filters, so files whose statistics lie outside are not read at all.
+    Only the key column is read. The least and the greatest key go to the Parquet reader as filters,
+    so files whose statistics lie outside are not read at all.
     """
-    gone = deletions.select("scan_id").filter("scan_id IS NOT NULL")
-    low, high = gone.agg(F.min("scan_id"), F.max("scan_id")).first()
+    low, high = gone.agg(F.min(key), F.max(key)).first()
     if low is None:
         return []
-    named = table.select("scan_id", F.col("_metadata.file_name").alias("name"))
-    near = named.filter(F.col("scan_id").between(low, high)).join(gone.distinct(), "scan_id", "left_semi")
+    named = table.select(key, F.col("_metadata.file_name").alias("name"))
+    near = named.filter(F.col(key).between(low, high)).join(gone, key, "left_semi")
     return sorted(r.name for r in near.select("name").distinct().collect())
 
 
-def delete_scans(spark: SparkSession, path: str, deletions: DataFrame) -> list[str]:
-    """Removes the rows of deleted scans from a table of `write_findings`; returns the replaced files.
+def delete_keys(spark: SparkSession, path: str, keys: DataFrame, key: str, order: tuple[str, ...]) -> list[str]:
+    """Removes the rows whose `key` is among `keys` from a table clustered by `order`, of which `key`
+    is the first column; returns the names of the replaced files.
 
-    Files are clustered by scan, so few hold a deleted one; the others keep their names and bytes.
-    The rewritten rows are clustered as before. Null scans stay.
+    Few files hold a deleted key then; the others keep their names and bytes. The rewritten rows are
+    clustered as before. Rows of a null key stay.
     """
     finish_swaps(spark, path)
     table = spark.read.parquet(path)
-    names = files_with(table, deletions)
+    gone = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    names = files_with(table, gone, key)
     if not names:
         return []
     folder, swap = _Folder(spark, path), f"{path.rstrip('/')}/{SWAP}{uuid.uuid4().hex}"
-    gone = deletions.select("scan_id").distinct()
     old = spark.read.schema(table.schema).parquet(*(f"{folder.root}/{n}" for n in names))
-    kept = old.join(gone, "scan_id", "left_anti").select(*table.columns)
-    clustered(kept, len(names)).write.parquet(f"{swap}/new")
+    kept = old.join(gone, key, "left_anti").select(*table.columns)
+    clustered(kept, len(names), order).write.parquet(f"{swap}/new")
     folder.commit(swap, names)
     finish_swaps(spark, path)
     return names
+
+
+def delete_scans(spark: SparkSession, findings_path: str, deletions: DataFrame, scans_path: str | None = None) -> list[str]:
+    """Removes deleted scans (`scan_id`) with all their findings from tables written by `clustered`.
+
+    Findings go first: a job lost in between leaves scans without findings, never findings without a
+    scan, and the next run of the same deletions ends the work. Returns the replaced files of findings.
+    """
+    replaced = delete_keys(spark, findings_path, deletions, "scan_id", FINDINGS_ORDER)
+    if scans_path is not None:
+        delete_keys(spark, scans_path, deletions.select(F.col("scan_id").alias("id")), "id", SCANS_ORDER)
+    return replaced
