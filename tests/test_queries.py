@@ -22,7 +22,7 @@ from vulnspark.session import work_folder  # noqa: E402
 from vulnspark.streaming import jobs  # noqa: E402
 
 # Checked by rows only: no SQL replays the default 128 hashes or a forest.
-ROWS_ONLY = {"dedup_kept_fast", "dedup_kept_full", "rf_baseline"}
+ROWS_ONLY = {"dedup_kept_fast", "dedup_kept_full", "rf_baseline", "rf_labels"}
 
 
 @pytest.fixture(scope="module")
