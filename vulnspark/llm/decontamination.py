@@ -36,7 +36,7 @@ OVERLAP = 0.6
 GRAM = 3
 #: Items below so many words count only as a whole.
 SHORT = 8
-#: Items and words of one index: about 150 MB in a task. They change what is read when, no result.
+#: Items and words of one index: about 240 MB while it is built in a task. They change what is read when, no result.
 ITEMS = 5_000
 WORDS = 500_000
 #: Answers below so many words are also compared word by word, for one changed word breaks most of
