@@ -118,6 +118,22 @@ def test_state_of_a_finished_scan_goes(spark, folder):
     assert sum(r.scan_id == "old" for r in got) == 300
 
 
+def test_first_of_scan_in_a_session_with_sparks_own_state_store(spark, folder):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, own)
+    try:
+        df = spark.createDataFrame([("s", "f", "g", line, "2024-01-01") for line in (1, 2, 1)], "scan_id string, file_path string, function_name string, start_line int, at string")
+        df.select(*KEYS, F.col("at").cast("timestamp").alias("created_at")).write.parquet(f"{folder}/in")
+        schema = spark.read.parquet(f"{folder}/in").schema
+        unique = jobs.stream_first_of_scan(jobs.read_stream(spark, f"{folder}/in", schema), f"{folder}/out", "5 days")
+        assert sorted(r.start_line for r in unique.collect()) == [1, 2]
+        assert spark.conf.get(key) == own
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_milliseconds():
     assert milliseconds("2 days") == 172_800_000 and milliseconds("1 minute") == 60_000
 

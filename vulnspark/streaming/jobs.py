@@ -7,13 +7,15 @@ never had a file gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from vulnspark.operators.dashboard import FINDING_LOCATION
+from vulnspark.session import DEFAULTS
 from vulnspark.streaming.log import BatchLog
 from vulnspark.streaming.seen import FirstOfScan
 from vulnspark.taxonomy import severity_rank
@@ -29,6 +31,19 @@ def _drain(writer: DataStreamWriter, folder: str, name: str) -> None:
     query.start().awaitTermination()
 
 
+@contextmanager
+def _lists_in_state(spark: SparkSession) -> Iterator[None]:
+    """Names the state store that keeps lists and timers, for queries started inside. Spark's default
+    store refuses them, and a session may come without this library's settings."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    named = spark.conf.get(key)
+    spark.conf.set(key, DEFAULTS[key])
+    try:
+        yield
+    finally:
+        spark.conf.set(key, named)
+
+
 def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
     """Parquet files as they arrive; each is read once."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
@@ -94,7 +109,8 @@ def stream_first_of_scan(findings: DataFrame, folder: str, idle: str, slots: int
         timeMode="eventTime",
     )
     writer = unique.writeStream.format("parquet").outputMode("append")
-    _drain(writer.option("path", f"{folder}/first"), folder, "first")
+    with _lists_in_state(findings.sparkSession):
+        _drain(writer.option("path", f"{folder}/first"), folder, "first")
     return _written(findings.sparkSession, f"{folder}/first", unique.schema)
 
 
