@@ -8,6 +8,11 @@ classes apart, so 300 trees need a fraction of the splits over 50,000 mostly idl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
@@ -16,11 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import let, tokens_ml
+from vulnspark.operators.arrow import pieces
 from vulnspark.taxonomy import NUM_LABELS
 
 SIZES = (1, 2, 3)
 #: Digits of the statistic that decide; sums of doubles differ behind them from run to run.
 CHI2_DIGITS = 6
+#: Bytes of terms that are counted together.
+COUNTED_BYTES = 16 << 20
 
 
 def term_array(code: Column) -> Column:
@@ -52,16 +60,31 @@ def balanced_weights(records: DataFrame, label: str) -> DataFrame:
     return records.join(F.broadcast(weights), label)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_class, terms) of records to the counts of each term of a piece."""
+    names = ["term", "tf", "df", *(f"c{c}" for c in range(NUM_LABELS))]
+    for piece in (p for batch in batches for p in pieces(batch, COUNTED_BYTES)):
+        lists = piece.column("terms")
+        coded = lists.flatten().dictionary_encode()
+        codes, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        if n:
+            record = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            once = np.unique(record * n + codes)
+            of_class = piece.column("_class").to_numpy()[once // n].astype(np.int64)
+            in_class = np.bincount(of_class * n + once % n, minlength=NUM_LABELS * n).reshape(NUM_LABELS, n)
+            sums = [np.bincount(codes, minlength=n), in_class.sum(axis=0), *in_class]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.array(s, pa.int64()) for s in sums)], names=names)
+
+
 def term_counts(records: DataFrame, label: str, min_df: int = 2) -> DataFrame:
     """(term, tf, df, in_class): occurrences, records, and records per class of every term.
 
-    A record sends each distinct term once as counted and every occurrence; both shrink in the
-    task before the one shuffle by term."""
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df")))
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df")))
-    rows = records.select(checked_label(label).alias("_class"), F.explode(F.concat(once, each)).alias("t"))
-    in_class = [F.sum(F.when(F.col("_class") == c, F.col("t.df")).otherwise(0)).alias(f"c{c}") for c in range(NUM_LABELS)]
-    counts = rows.groupBy("t.term").agg(F.sum(1 - F.col("t.df")).alias("tf"), F.sum("t.df").alias("df"), *in_class)
+    Terms are counted over Arrow batches first, so a term of any number of occurrences enters the
+    sums and the one shuffle once per batch."""
+    classes = [f"c{c}" for c in range(NUM_LABELS)]
+    schema = ", ".join(["term string", "tf bigint", "df bigint", *(f"{c} bigint" for c in classes)])
+    rows = records.select(checked_label(label).alias("_class"), "terms").mapInArrow(_counted, schema)
+    counts = rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("tf", "df", *classes)])
     return counts.filter(F.col("df") >= min_df).select(
         "term", "tf", "df", F.array(*[f"c{c}" for c in range(NUM_LABELS)]).alias("in_class")
     )
