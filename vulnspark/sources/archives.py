@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +19,11 @@ from pyspark.sql import Window as W
 
 from vulnspark import schemas
 from vulnspark.functions import paths
+from vulnspark.operators.arrow import PIECE_BYTES, pieces
 
 MIB = 1024 * 1024
+#: What a row costs besides its file.
+ROW_BYTES = 500
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ def _headers(blob: bytes | None) -> tuple[str | None, list[tuple]]:
 
 
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for whole in batches for p in pieces(whole)):
         formats, members = [], []
         for blob in batch.column("content"):
             fmt, found = _headers(blob.as_py())
@@ -240,21 +242,38 @@ def mining_files(files: DataFrame, path: str = "name") -> DataFrame:
     return files.filter(paths.is_mining_file(F.col(path)))
 
 
-def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "file_path", "raw", "reason"]
-    for batch in batches:
-        for archive, blob, reason, wanted, skipped in batch.itertuples(index=False, name=None):
-            rows = [(archive, None, None, reason)] if reason else []
-            if not reason:
-                rows += [(archive, m["name"], None, m["reason"]) for m in skipped]
-                try:
-                    fmt, opened = _open(blob)
-                    for name in wanted:
-                        raw = opened.read(name) if fmt == "zip" else opened.extractfile(name).read()
-                        rows.append((archive, name, raw, None))
-                except _UNREADABLE:
-                    rows = [(archive, None, None, "unreadable")]
-            yield pd.DataFrame(rows, columns=columns)
+def _members_of(archive: str, blob: bytes | None, reason: str | None, wanted: list | None, skipped: list | None) -> list[tuple]:
+    """(archive, file_path, raw, reason) of everything one archive gives or leaves out."""
+    if reason:
+        return [(archive, None, None, reason)]
+    rows = [(archive, m["name"], None, m["reason"]) for m in skipped]
+    try:
+        fmt, opened = _open(blob)
+        for name in wanted:
+            raw = opened.read(name) if fmt == "zip" else opened.extractfile(name).read()
+            rows.append((archive, name, raw, None))
+    except _UNREADABLE:
+        return [(archive, None, None, "unreadable")]
+    return rows
+
+
+_READ = pa.schema([("archive", pa.string()), ("file_path", pa.string()), ("raw", pa.binary()), ("reason", pa.string())])
+
+
+def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch per so many bytes read, not one per archive: a batch of few rows costs as much as one of many."""
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ, strict=True)], schema=_READ)
+    rows, held = [], 0
+    for piece in (p for batch in batches for p in pieces(batch)):
+        for values in zip(*piece.columns, strict=True):
+            found = _members_of(*(v.as_py() for v in values))
+            rows += found
+            held += ROW_BYTES * len(found) + sum(len(raw) for _, _, raw, _ in found if raw)
+            if held > PIECE_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch_of(rows)
 
 
 def read_members(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -265,7 +284,7 @@ def read_members(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
     raw = (
         judged_archives(archives, limits)
         .select("archive", "content", "reason", "wanted", "skipped")
-        .mapInPandas(_read_members, "archive string, file_path string, raw binary, reason string")
+        .mapInArrow(_read_members, "archive string, file_path string, raw binary, reason string")
     )
     text = F.try_validate_utf8(F.col("raw").cast("string"))
     unread = F.when(F.col("raw").isNotNull() & text.isNull(), "not_utf8")
