@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vulnspark.llm import suffix_dedup as S
@@ -43,6 +44,31 @@ def test_suffix_order_and_prefixes(alphabet):
             assert shared[k] == min(want, 20)
 
 
+def test_order_of_more_suffixes_than_one_number_holds():
+    data = np.random.default_rng(1).integers(0, 3, (1 << 21) + 9, np.uint8)
+    order, _ = S.suffix_array(data)
+    assert np.array_equal(np.sort(order), np.arange(len(data)))
+    whole = data.tobytes()
+    for a, b in zip(order[:-1:97].tolist(), order[1::97].tolist(), strict=True):
+        assert whole[a : a + 200] < whole[b : b + 200]
+
+
+def test_marks_without_two_kinds_of_segments_are_not_sorted(monkeypatch):
+    real, sorted_ = S.repeated_windows, []
+    monkeypatch.setattr(S, "repeated_windows", lambda bodies, length: sorted_.extend(bodies) or real(bodies, length))
+    rows = [  # mark, parts, part, d1, d2, copies, body
+        (1, 1, 0, 1, 1, 3, b"alone, copied"), (2, 1, 0, 2, 2, 1, b"alone, once"),
+        (3, 1, 0, 3, 3, 2, b"both copied"), (3, 1, 0, 4, 4, 5, b"both copied too"),
+        (4, 1, 0, 5, 5, 2, b"shared"), (4, 1, 0, 6, 6, 1, b"is shared"), (5, 2, 1, 7, 7, 4, b"a part"),
+    ]
+    names = ["mark", "parts", "part", "d1", "d2", "copies", "body"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in some]) for some in (rows[:3], rows[3:])]
+    out = [r for b in S._sort_shards(6, 1 << 20)(iter(batches)) for r in b.to_pylist()]
+    assert sorted_ == [b"shared", b"is shared", b"a part"]
+    want = {1: [0, 7], 3: [0, 5], 4: [0, 9], 5: [0, 0], 6: [3, 3], 7: [0, 0]}
+    assert {r["d1"]: r["runs"] for r in out if r["runs"] is not None} == want
+
+
 @pytest.mark.parametrize(("segments", "shard_bytes"), [(2000, 1 << 20), (2, 60), (1, 1)])
 def test_removal(spark, segments, shard_bytes):
     rng = random.Random(segments)

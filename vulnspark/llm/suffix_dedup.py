@@ -12,6 +12,7 @@ ranges of window hashes, where the sorted windows of one shard are searched in t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ GRAM = 40
 #: Segments of one mark, and bytes, that one suffix array takes.
 SEGMENTS = 2_000
 SHARD_BYTES = 1 << 20
+#: The least numbers of one byte to eight.
+BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 FOUND = (
     "d1 long, d2 long, runs array<int>, mark long, part int, w1 long, w2 long, at int, shard int"  # runs: first and last of each
 )
@@ -46,18 +49,24 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     starts = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
     rank = np.zeros(n + 1, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
-    alone = starts & np.append(starts[1:], True)
-    at = np.flatnonzero(~alone)
+    rank[order] = own = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
+    at = np.flatnonzero(~(starts & np.append(starts[1:], True)))
+    own = own[at]
     while len(at):
         mine = order[at]
-        own, follow = rank[mine], rank[np.minimum(mine + step, n)]
-        place = np.argsort((own << 32) | follow)
-        mine, own, follow = mine[place], own[place], follow[place]
+        follow = rank[np.minimum(mine + step, n)]
+        if n < 1 << 21:  # both ranks and the place fit one number
+            ranked = np.sort((own << 42) | (follow << 21) | mine)
+            mine, ranked = ranked & ((1 << 21) - 1), ranked >> 21
+        else:
+            ranked = (own << 32) | follow
+            place = np.argsort(ranked)
+            mine, ranked = mine[place], ranked[place]
         order[at] = mine
-        starts = np.append(True, (own[1:] != own[:-1]) | (follow[1:] != follow[:-1]))
-        rank[mine] = np.maximum.accumulate(np.where(starts, at, 0)) + 1
-        at = at[~(starts & np.append(starts[1:], True))]
+        starts = np.diff(ranked, prepend=-1) != 0
+        rank[mine] = own = np.maximum.accumulate(np.where(starts, at, 0)) + 1
+        more = ~(starts & np.append(starts[1:], True))
+        at, own = at[more], own[more]
         step *= 2
     return order, heads
 
@@ -78,17 +87,16 @@ def common_prefixes(order: np.ndarray, heads: np.ndarray, first: np.ndarray, las
         live = int(np.searchsorted(-sizes, -j, "left"))
         at = first[:live] + j
         other = before[at]
-        length = np.maximum(held[:live] - 1, 0)
-        length[other < 0] = 0
-        grow = np.flatnonzero((other >= 0) & (length < most))
+        # Up to the end of the data.
+        top = np.where(other < 0, 0, np.minimum(n - np.maximum(at, other), most))
+        length = np.minimum(np.maximum(held[:live] - 1, 0), top)
+        grow = np.flatnonzero(length < top)
         while len(grow):
-            a, b = at[grow] + length[grow], other[grow] + length[grow]
-            inside = np.maximum(a, b) < n
-            differ = heads[np.minimum(a, n - 1)] ^ heads[np.minimum(b, n - 1)]
-            same = sum((differ < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(8))
-            step = np.where(inside, np.minimum(same, n - np.maximum(a, b)), 0)
-            length[grow] = np.minimum(length[grow] + step, most)
-            grow = grow[(step == 8) & (length[grow] < most)]
+            known, end = length[grow], top[grow]
+            differ = heads[at[grow] + known] ^ heads[other[grow] + known]
+            step = 8 - np.searchsorted(BYTES, differ, "right")
+            length[grow] = known = np.minimum(known + step, end)
+            grow = grow[(step == 8) & (known < end)]
         held[:live] = length
         shared[at] = length
     return shared[order]
@@ -119,26 +127,45 @@ class Shard:
     """Segments of some marks; those of a split mark also give their distinct windows to merge."""
 
     def __init__(self, length: int):
-        self.length, self.segments, self.size = length, [], 0
+        self.length, self.segments, self.out, self.size = length, [], [], 0
 
-    def add(self, segment: tuple) -> None:
-        self.segments.append(segment)
-        self.size += len(segment[-1])
+    def add(self, found: list[tuple]) -> None:
+        """Takes the segments of a mark, or of one part of a split mark.
+
+        A segment that has copies repeats whole, and one alone with its mark meets no other: a mark
+        of only such segments has nothing to sort."""
+        if found[0][1] == 1 and (len(found) == 1 or all(s[5] > 1 for s in found)):
+            self.out += [self._whole(s) for s in found if s[5] > 1]
+            self.size += 64 * len(found)
+        else:
+            self.segments += found
+            self.size += sum(len(s[-1]) for s in found)
+
+    def _whole(self, segment: tuple) -> tuple:
+        return (*segment[3:5], [0, len(segment[-1]) - self.length], *[None] * 6)
 
     def result(self) -> pa.RecordBatch:
+        if self.segments:
+            self._sort()
+        columns = list(zip(*self.out, strict=True)) or [[]] * 9
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def _sort(self) -> None:
         bodies = [s[-1] for s in self.segments]
         places, classes, first = repeated_windows(bodies, self.length)
         sizes = np.bincount(classes)
         flags = np.zeros(sum(map(len, bodies)), bool)
         flags[places] = sizes[classes] > 1
-        out: list[tuple] = []
+        out = self.out
         split = np.array([s[1] > 1 for s in self.segments])
         # No window starts in the last bytes of a segment, so no run goes on into the next one.
         found = _runs(flags)
         bounds = np.searchsorted(found[:, 0], np.append(first, len(flags))).tolist()
-        for k, (_, _, _, d1, d2, copies, body) in enumerate(self.segments):
+        for k, (_, _, _, d1, d2, copies, _) in enumerate(self.segments):
             if copies > 1:
-                out.append((d1, d2, [0, len(body) - self.length], *[None] * 6))
+                out.append(self._whole(self.segments[k]))
             elif bounds[k] < bounds[k + 1]:
                 runs = (found[bounds[k] : bounds[k + 1]] - first[k]).ravel().tolist()
                 out.append((d1, d2, runs, *[None] * 6))
@@ -152,10 +179,6 @@ class Shard:
                     w = xxhash.xxh3_128_intdigest(body[at : at + self.length])
                     w1, w2 = w >> 64, w & (2**64 - 1)
                     out.append((d1, d2, None, mark, w1 * parts >> 64, _signed(w1), _signed(w2), at, part))
-        columns = list(zip(*out, strict=True)) or [[]] * 9
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        names = [c.split()[0] for c in FOUND.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _signed(x: int) -> int:
@@ -215,16 +238,15 @@ def _sort_shards(length: int, shard_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last = Shard(length), None
-        for batch in batches:
-            for mark, parts, part, d1, d2, copies, body in rows(batch):
-                # Parts of one mark are different shards, else their windows would merge twice.
-                if (mark, part) != last and (shard.size >= shard_bytes or (last and mark == last[0])):
-                    yield shard.result()
-                    shard = Shard(length)
-                last = (mark, part)
-                shard.add((mark, parts, part, d1, d2, copies, body))
-        if shard.segments:
-            yield shard.result()
+        segments = (row for batch in batches for row in rows(batch))
+        for (mark, _), found in groupby(segments, lambda s: (s[0], s[2])):
+            # Parts of one mark are different shards, else their windows would merge twice.
+            if shard.size >= shard_bytes or mark == last:
+                yield shard.result()
+                shard = Shard(length)
+            last = mark
+            shard.add(list(found))
+        yield shard.result()
 
     return run
 
