@@ -194,6 +194,28 @@ def test_codec_of_very_long_words():
         assert codec.encode([text])[0][0].tolist() == library.encode(text)
 
 
+def test_codec_keeps_its_words_for_the_next_task(monkeypatch):
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), S._load(MODEL)
+    assert S._load(MODEL) is codec
+    texts = [f"{c}and.\nThe日本{k}\x00 end" for k, c in enumerate("abé😀")]
+    codec._forget()
+    codec.encode(texts)
+    # Neither known words nor characters without a piece are merged one by one.
+    monkeypatch.setattr(codec, "_merge_long", None)
+    assert [c[0].tolist() for c in codec.encode([f"{t} more\n" for t in texts])] == [library.encode(f"{t} more\n") for t in texts]
+    monkeypatch.setattr(codec, "_merge_short", None)
+    assert [c[0].tolist() for c in codec.encode(texts)] == [library.encode(t) for t in texts]
+
+
+def test_codec_forgets_words(monkeypatch):
+    monkeypatch.setattr(S, "REMEMBERED", 5)
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), S._load(MODEL)
+    for k in range(9):
+        text = f"one two{k} three\n{k} {'x' * 60}"
+        assert codec.encode([text])[0][0].tolist() == library.encode(text)
+        assert len(codec.words) == len(codec.starts) <= 10
+
+
 def test_other_models_are_refused():
     raw = open(MODEL, "rb").read()
     own = packed(1, packed(1, b"<own>") + packed(3, 4))

@@ -10,9 +10,12 @@ sources of its first character and of the first one behind it.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,12 @@ from vulnspark.operators.arrow import list_array
 BLANK, REPLACEMENT, UNKNOWN = "▁", "�", " ⁇ "
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 PAIR_MERGES = 2
-#: Words up to these lengths are merged together in arrays and remembered; longer ones go through a heap.
+#: Words up to these lengths are merged together in arrays; longer ones go through a heap.
 WIDTHS = (6, 9, 12, 16, 24, 48)
-#: Remembered words of a task, forgotten together.
-REMEMBERED = 300_000
+#: Places of the arrays in which words are merged together.
+CELLS = 150_000
+#: Remembered words and their ids, of a process, forgotten together once a batch begins with more.
+REMEMBERED, REMEMBERED_IDS = 300_000, 3_000_000
 NEVER = 1 << 30
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -116,6 +121,20 @@ class CharacterMap:
         return best and (self.texts[best[0] : self.texts.index(b"\0", best[0])].decode(), best[1])
 
 
+class Numbers(dict):
+    """The number of every word, in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of the runs that begin at `starts`, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Codec:
     """Encoder and decoder of one model file (pair merges with byte fallback)."""
 
@@ -143,17 +162,27 @@ class Codec:
         self.map = CharacterMap(normalizer.get(2, b""))
         self.prefix, self.squeeze = bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1))
         self.ids, self.scores = normal, {n: scores[i] for n, i in normal.items()}
-        self.bytes = [0] * 256
+        self.bytes = np.zeros(256, np.int32)
         for i, kind in enumerate(self.kinds):
             if kind == BYTE:
                 self.bytes[int(self.names[i][3:5], 16)] = i
-        self.value = {i: b for b, i in enumerate(self.bytes)}
-        self.is_byte = np.array([k == BYTE for k in self.kinds])
+        self.value = {i: b for b, i in enumerate(self.bytes.tolist())}
         shown = {CONTROL: "", UNK: UNKNOWN}
         self.surfaces = [shown.get(k, n.replace(BLANK, " ")) for k, n in zip(self.kinds, self.names, strict=True)]
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        # What ids stand for, a byte as itself.
+        self.raw = pa.array(
+            [bytes([self.value[i]]) if k == BYTE else t.encode() for i, (k, t) in enumerate(zip(self.kinds, self.surfaces, strict=True))],
+            pa.binary(),
+        )
+        self._forget()
         self._index_pairs(normal)
 
+    def _forget(self) -> None:
+        """Of the remembered words: numbers, and by number the ids and how many characters each takes."""
+        self.words = Numbers()
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.spans = np.empty(0, np.int32), np.empty(0, np.int32)
+
     def _index_pairs(self, normal: dict[str, int]) -> None:
         """Symbols (pieces, and characters that only occur inside pieces) and the pairs that merge.
 
@@ -223,8 +252,8 @@ class Codec:
 
     # --- merges ---
 
-    def _coded(self, parts: Iterable[str]) -> tuple[bytes, bytes]:
-        """Ids, and how many characters each takes, as 32-bit numbers."""
+    def _coded(self, parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many characters each takes."""
         ids, lengths = [], []
         for part in parts:
             at = self.ids.get(part)
@@ -236,22 +265,33 @@ class Codec:
             coded = part.encode()
             ids += [self.bytes[b] for b in coded]
             lengths += [0] * (len(coded) - 1) + [1]
-        return np.array(ids, "<i4").tobytes(), np.array(lengths, "<i4").tobytes()
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Remembers the ids of all `words` that are not too long for it."""
-        new = {w for w in words if w not in self.words and len(w) <= WIDTHS[-1]}
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = {w for w in words if len(w) <= WIDTHS[-1]}
-        by_width = sorted(new, key=len)
-        sizes = np.array([len(w) for w in by_width])
-        start = 0
+        return np.array(ids, np.int32), np.array(lengths, np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of `new`, the words that were numbered last."""
+        if not new:
+            return
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        order = np.argsort(lengths, kind="stable")
+        by_width = [new[i] for i in order.tolist()]
+        found, start = [], 0
         for width in WIDTHS:
-            stop = int(np.searchsorted(sizes, width, "right"))
-            for at in range(start, stop, 20_000):
-                self._merge_short(by_width[at : min(at + 20_000, stop)], width)
+            stop = int(np.searchsorted(lengths[order], width, "right"))
+            step = CELLS // width
+            for at in range(start, stop, step):
+                found.append(self._merge_short(by_width[at : min(at + step, stop)], width))
             start = stop
+        for word in by_width[start:]:
+            ids, spans = self._coded(self._merge_long(word))
+            found.append((ids, spans, np.array([len(ids)])))
+        flat, spans, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        starts = np.empty(len(new), np.int64)
+        starts[order] = np.cumsum(sizes) - sizes
+        own = np.empty(len(new), np.int64)
+        own[order] = sizes
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, own])
+        self.flat, self.spans = np.concatenate([self.flat, flat]), np.concatenate([self.spans, spans])
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the order of merges, piece made) of each pair of symbols."""
@@ -260,8 +300,10 @@ class Codec:
         found = self.pairs[at] == keys
         return np.where(found, self.place_of_pair[at], NEVER), self.made[at]
 
-    def _merge_short(self, words: list[str], width: int) -> None:
-        """Merges in all words at once: a round takes the best pair of every word that has one."""
+    def _merge_short(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges in all words at once: a round takes the best pair of every word that has one.
+
+        Ids of all words, how many characters each takes, and the number of ids of every word."""
         n = len(words)
         sizes = np.array([len(w) for w in words])
         inside = np.arange(width + 1) < sizes[:, None]
@@ -270,6 +312,8 @@ class Codec:
         # One more place on either side, so that every symbol has neighbours.
         symbol = np.full((n, width + 2), -1, np.int64)
         symbol[:, 1:][inside] = np.where(self.characters[at] == code, self.character_ids[at], -2)
+        character = np.zeros((n, width + 2), np.uint32)
+        character[:, 1:][inside] = code
         length = (symbol != -1).astype(np.int32)
         after = np.tile(np.arange(1, width + 3), (n, 1))
         before = np.tile(np.arange(-1, width + 1), (n, 1))
@@ -289,13 +333,18 @@ class Codec:
             ahead = before[rows, k]
             order[rows, ahead], made[rows, ahead] = self._lookup(symbol[rows, ahead], symbol[rows, k])
         kept = length > 0
-        ids, lengths = symbol[kept].astype("<i4"), length[kept].astype("<i4")
-        ends = np.cumsum(kept.sum(axis=1)) * 4
-        flat, spans, start = ids.tobytes(), lengths.tobytes(), 0
-        plain = ~((symbol < 0) | (symbol >= len(self.names)))[:, 1:] | ~kept[:, 1:]
-        for word, stop, easy in zip(words, ends.tolist(), plain.all(axis=1).tolist(), strict=True):
-            self.words[word] = (flat[start:stop], spans[start:stop]) if easy else self._coded(self._merge_long(word))
-            start = stop
+        ids, lengths, of_word = symbol[kept].astype(np.int32), length[kept], np.nonzero(kept)[0]
+        # Merges only make pieces, so the other symbols are single characters; their last byte stands for them.
+        odd = (ids < 0) | (ids >= len(self.names))
+        alone = character[kept][odd]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[odd] += (alone >= 0x80).astype(np.int64) + (alone >= 0x800) + (alone >= 0x10000)
+        of_byte = np.repeat(odd, sizes)
+        coded, spans = np.repeat(ids, sizes), np.repeat(lengths, sizes)
+        coded[of_byte] = self.bytes[np.frombuffer(alone.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        spans[of_byte] = 0
+        spans[np.cumsum(sizes)[odd] - 1] = 1
+        return coded, spans, np.bincount(of_word, sizes, n).astype(np.int64)
 
     def _merge_long(self, word: str) -> list[str]:
         parts: list[str | None] = list(word)
@@ -324,29 +373,40 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of every text: ids, and the first byte and the byte behind the last one of each in its UTF-8."""
+        if len(self.words) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
+            self._forget()
+        known, number = len(self.sizes), self.words.__getitem__
         normal = [self.normalize(t) for t in texts]
-        split = [WORDS.findall(new) for new, _ in normal]
-        self._learn({w for words in split for w in words})
-        known, coded = self.words.get, []
+        split = []
+        for new, _ in normal:
+            words = WORDS.findall(new)
+            split.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn(list(islice(self.words, known, None)))
+        coded = []
         for (_, places), words in zip(normal, split, strict=True):
-            pairs = [known(w) or self._coded(self._merge_long(w)) for w in words]
-            ids = np.frombuffer(b"".join([p[0] for p in pairs]), "<i4")
-            ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in pairs]), "<i4"))
-            borders = places[np.append(0, ends)].astype(np.int32)
-            coded.append((ids, borders[:-1], borders[1:]))
+            at = gathered(self.starts[words], self.sizes[words])
+            borders = places[np.append(0, np.cumsum(self.spans[at]))].astype(np.int32)
+            coded.append((self.flat[at], borders[:-1], borders[1:]))
         return coded
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids vanish, bytes that form no character become U+FFFD each,
         and the blank before the first piece goes if the model puts one there."""
-        listed = ids.tolist()
-        text = "".join(self._with_bytes(listed) if self.is_byte[ids].any() else map(self.surfaces.__getitem__, listed))
-        return text[self._leading(listed) :]
-
-    def _leading(self, ids: list[int]) -> int:
+        if not len(ids):
+            return ""
+        # The taken texts lie one behind the other in Arrow's buffer.
+        _, ends, data = self.raw.take(pa.array(ids).cast(pa.int64())).buffers()
+        size = int(np.frombuffer(ends, np.int32)[len(ids)])
+        try:
+            text = data[:size].to_pybytes().decode() if size else ""
+        except UnicodeDecodeError:
+            text = "".join(self._with_bytes(ids.tolist()))
+        return text[self._leading(ids) :]
+
+    def _leading(self, ids: np.ndarray) -> int:
         """Blanks of the first pieces that are not part of the text."""
         gone = 0
-        for i in ids if self.prefix or self.squeeze else ():
+        for i in map(int, ids if self.prefix or self.squeeze else ()):
             if self.kinds[i] == CONTROL:
                 continue
             gone += self.kinds[i] == NORMAL and self.names[i].startswith(BLANK)
@@ -387,11 +447,18 @@ def _characters(data: bytes) -> str:
     return "".join(out)
 
 
-def _load(path: str) -> Codec:
+@lru_cache(maxsize=1)
+def _kept(path: str, changed: int, size: int) -> Codec:
     with open(path, "rb") as file:
         return Codec(file.read())
 
 
+def _load(path: str) -> Codec:
+    """The codec of a file, kept with its words for the next task of the process while the file stays as it is."""
+    state = os.stat(path)
+    return _kept(path, state.st_mtime_ns, state.st_size)
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids, begins, ends (arrays by piece) and the decoded text.
 
