@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnspark.operators.arrow import PIECE_BYTES, pieces
 from vulnspark.session import materialize, work_folder
 
 CHUNK, HIT = 0, 1
@@ -34,7 +36,27 @@ def _pairs(groups: np.ndarray, lines: np.ndarray, kinds: np.ndarray, ends: np.nd
         open_ = [c for c in open_ if c[0] >= line]
         chunks += [c for _, c in open_]
         hits += [i] * len(open_)
-    return chunks, hits, [c for _, c in open_]
+    # Later events of the group have no smaller line, so chunks that end before it meet no more hits.
+    return chunks, hits, [c for end, c in open_ if end >= line]
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of every row; of lists and maps the mean."""
+    if pa.types.is_struct(column.type):
+        return sum((_row_bytes(c) for c in column.flatten()), np.zeros(len(column)))
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 8.0
+    return np.full(len(column), column.nbytes / max(1, len(column)))
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries of at most `most` bytes together, or of one entry."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
 
 
 def _sweep(n_keys: int):
@@ -42,7 +64,7 @@ def _sweep(n_keys: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in pieces(batch)):
             table = pa.Table.from_batches([batch])
             # Open chunks of earlier batches stand in front, so they are swept again as chunks.
             table = table if held is None else pa.concat_tables([held, table])
@@ -54,9 +76,11 @@ def _sweep(n_keys: int):
             line, kind, end = (table.column(n_keys + k).to_numpy() for k in range(3))
             chunks, hits, open_ = _pairs(np.cumsum(changed), line, kind, end)
             held = table.take(pa.array(open_, pa.int64()))
-            if hits:
-                found = table.take(pa.array(hits, pa.int64()))
-                whole = table.column(n_keys + 3).take(pa.array(chunks, pa.int64()))
+            # A chunk comes with each of its hits, so pairs can be far larger than the events.
+            whole_bytes, hit_bytes = (_row_bytes(table.column(n_keys + k).combine_chunks()) for k in (3, 4))
+            for a, b in _runs(whole_bytes[chunks] + hit_bytes[hits], PIECE_BYTES) if hits else ():
+                found = table.take(pa.array(hits[a:b], pa.int64()))
+                whole = table.column(n_keys + 3).take(pa.array(chunks[a:b], pa.int64()))
                 columns = [*(found.column(k) for k in range(n_keys)), whole, found.column(n_keys + 4)]
                 names = [*table.column_names[:n_keys], "chunk", "hit"]
                 yield from pa.table(columns, names=names).combine_chunks().to_batches()
