@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from vulnspark.llm import suffix_dedup as S
 
@@ -69,6 +71,47 @@ def test_marks_without_two_kinds_of_segments_are_not_sorted(monkeypatch):
     assert {r["d1"]: r["runs"] for r in out if r["runs"] is not None} == want
 
 
+def _split_marks(marks, segments, parts):
+    """Parts of split marks: different segments of 359 bytes around a passage of 40."""
+    rng = np.random.default_rng(marks)
+    names = ["mark", "parts", "part", "d1", "d2", "copies", "body"]
+    word = lambda n: rng.integers(97, 110, n, np.uint8).tobytes()
+    for m in range(marks):
+        passage = word(40)
+        rows = [(m, parts, m % parts, m, k, 1, word(159) + passage + word(160)) for k in range(segments)]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+
+
+def test_windows_of_split_marks_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(S, "WINDOWS", 500)
+    given = list(_split_marks(2, 20, 7))
+    batches = list(S._sort_shards(200, 1 << 20)(iter(given)))
+    assert max(b.num_rows for b in batches) <= 500 < sum(b.num_rows for b in batches)
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    want = []
+    for mark, parts, part, d1, d2, _, body in (tuple(r.values()) for b in given for r in b.to_pylist()):
+        for at in range(len(body) - 199):
+            w = xxhash.xxh3_128_intdigest(body[at : at + 200])
+            w1, w2 = w >> 64, w & (2**64 - 1)
+            want.append((d1, d2, None, mark, w1 * parts >> 64, S._signed(w1), S._signed(w2), at, part))
+    assert len(want) == 2 * 20 * 160
+    key = lambda r: (r[3], r[1], r[7])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_memory_of_a_shard_of_split_marks():
+    """At most 80 bytes a byte of the segments are held, their windows included."""
+    given = list(_split_marks(2, 600, 7))
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in S._sort_shards(200, 1 << 20)(iter(given)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2 * 600 * 160
+    assert peak < 80 * 2 * 600 * 359
+
+
 @pytest.mark.parametrize(("segments", "shard_bytes"), [(2000, 1 << 20), (2, 60), (1, 1)])
 def test_removal(spark, segments, shard_bytes):
     rng = random.Random(segments)

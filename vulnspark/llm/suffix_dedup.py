@@ -28,6 +28,8 @@ GRAM = 40
 #: Segments of one mark, and bytes, that one suffix array takes.
 SEGMENTS = 2_000
 SHARD_BYTES = 1 << 20
+#: Windows to merge in one batch: they are far more than the segments they come from.
+WINDOWS = 1 << 14
 #: The least numbers of one byte to eight.
 BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 FOUND = (
@@ -52,12 +54,18 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = own = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
     at = np.flatnonzero(~(starts & np.append(starts[1:], True)))
     own = own[at]
+    del keys
     while len(at):
         mine = order[at]
         follow = rank[np.minimum(mine + step, n)]
         if n < 1 << 21:  # both ranks and the place fit one number
-            ranked = np.sort((own << 42) | (follow << 21) | mine)
-            mine, ranked = ranked & ((1 << 21) - 1), ranked >> 21
+            ranked = own << 42
+            follow <<= 21
+            ranked |= follow
+            ranked |= mine
+            ranked.sort()
+            mine = ranked & ((1 << 21) - 1)
+            ranked >>= 21
         else:
             ranked = (own << 32) | follow
             place = np.argsort(ranked)
@@ -142,43 +150,63 @@ class Shard:
             self.size += sum(len(s[-1]) for s in found)
 
     def _whole(self, segment: tuple) -> tuple:
-        return (*segment[3:5], [0, len(segment[-1]) - self.length], *[None] * 6)
+        return (*segment[3:5], [0, len(segment[-1]) - self.length])
 
-    def result(self) -> pa.RecordBatch:
-        if self.segments:
-            self._sort()
-        columns = list(zip(*self.out, strict=True)) or [[]] * 9
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        names = [c.split()[0] for c in FOUND.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def result(self) -> Iterator[pa.RecordBatch]:
+        merge = self._sort() if self.segments else np.empty(0, np.int64)
+        d1, d2, runs = list(zip(*self.out, strict=True)) or [[]] * 3
+        yield _found(len(d1), d1=d1, d2=d2, runs=runs)
+        if len(merge):
+            yield from self._windows(merge)
 
-    def _sort(self) -> None:
+    def _sort(self) -> np.ndarray:
+        """Finds the runs; returns the places of the distinct windows of split marks."""
         bodies = [s[-1] for s in self.segments]
         places, classes, first = repeated_windows(bodies, self.length)
-        sizes = np.bincount(classes)
         flags = np.zeros(sum(map(len, bodies)), bool)
-        flags[places] = sizes[classes] > 1
-        out = self.out
-        split = np.array([s[1] > 1 for s in self.segments])
+        flags[places] = (np.bincount(classes) > 1)[classes]
         # No window starts in the last bytes of a segment, so no run goes on into the next one.
         found = _runs(flags)
         bounds = np.searchsorted(found[:, 0], np.append(first, len(flags))).tolist()
         for k, (_, _, _, d1, d2, copies, _) in enumerate(self.segments):
             if copies > 1:
-                out.append(self._whole(self.segments[k]))
+                self.out.append(self._whole(self.segments[k]))
             elif bounds[k] < bounds[k + 1]:
-                runs = (found[bounds[k] : bounds[k + 1]] - first[k]).ravel().tolist()
-                out.append((d1, d2, runs, *[None] * 6))
-        if split.any():
-            one = places[changes(classes)]
-            owner = np.searchsorted(first, one, "right") - 1
-            for place, k in zip(one.tolist(), owner.tolist(), strict=True):
-                mark, parts, part, d1, d2, _, body = self.segments[k]
-                if parts > 1:
-                    at = place - int(first[k])
-                    w = xxhash.xxh3_128_intdigest(body[at : at + self.length])
-                    w1, w2 = w >> 64, w & (2**64 - 1)
-                    out.append((d1, d2, None, mark, w1 * parts >> 64, _signed(w1), _signed(w2), at, part))
+                self.out.append((d1, d2, (found[bounds[k] : bounds[k + 1]] - first[k]).ravel().tolist()))
+        split = np.array([s[1] > 1 for s in self.segments])
+        if not split.any():
+            return np.empty(0, np.int64)
+        one = places[changes(classes)]
+        return one[split[np.searchsorted(first, one, "right") - 1]]
+
+    def _windows(self, merge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The windows at these places of the concatenated bodies, a batch at a time."""
+        marks, parts, part, d1, d2 = (np.array([s[c] for s in self.segments], np.int64) for c in range(5))
+        sizes = np.array([len(s[-1]) for s in self.segments], np.int64)
+        first, data = np.cumsum(sizes) - sizes, b"".join(s[-1] for s in self.segments)
+        for start in range(0, len(merge), WINDOWS):
+            places = merge[start : start + WINDOWS]
+            k = np.searchsorted(first, places, "right") - 1
+            digests = b"".join([xxhash.xxh3_128_digest(data[p : p + self.length]) for p in places.tolist()])
+            w1, w2 = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+            yield _found(
+                len(k), d1=d1[k], d2=d2[k], mark=marks[k], part=_ranges(w1, parts[k]), w1=longs(w1), w2=longs(w2), at=places - first[k], shard=part[k]
+            )
+
+
+def _found(n: int, **columns) -> pa.RecordBatch:
+    """A batch of `n` rows of FOUND; columns not given are null."""
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _ranges(w1: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Of as many equal ranges of 64-bit numbers as there are parts, the one each number is in."""
+    parts, half = parts.astype(np.uint64), np.uint64(32)
+    low = ((w1 & np.uint64(2**32 - 1)) * parts) >> half
+    return (((w1 >> half) * parts + low) >> half).astype(np.int32)
 
 
 def _signed(x: int) -> int:
@@ -242,11 +270,11 @@ def _sort_shards(length: int, shard_bytes: int):
         for (mark, _), found in groupby(segments, lambda s: (s[0], s[2])):
             # Parts of one mark are different shards, else their windows would merge twice.
             if shard.size >= shard_bytes or mark == last:
-                yield shard.result()
+                yield from shard.result()
                 shard = Shard(length)
             last = mark
             shard.add(list(found))
-        yield shard.result()
+        yield from shard.result()
 
     return run
 
@@ -291,7 +319,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode()
