@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +94,12 @@ def test_windows_of_split_marks_leave_in_small_batches(monkeypatch):
         for at in range(len(body) - 199):
             w = xxhash.xxh3_128_intdigest(body[at : at + 200])
             w1, w2 = w >> 64, w & (2**64 - 1)
-            want.append((d1, d2, None, mark, w1 * parts >> 64, S._signed(w1), S._signed(w2), at, part))
+            want.append((d1, d2, None, mark, w1 * parts * S.RANGES >> 64, S._signed(w1), S._signed(w2), at, part))
     assert len(want) == 2 * 20 * 160
     key = lambda r: (r[3], r[1], r[7])
     assert sorted(got, key=key) == sorted(want, key=key)
+    # A seventh of a mark's windows would be over 400.
+    assert max(Counter((r[3], r[4]) for r in got).values()) < 100
 
 
 def test_memory_of_a_shard_of_split_marks():

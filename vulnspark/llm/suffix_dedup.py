@@ -30,6 +30,8 @@ SEGMENTS = 2_000
 SHARD_BYTES = 1 << 20
 #: Windows to merge in one batch: they are far more than the segments they come from.
 WINDOWS = 1 << 14
+#: Ranges of window hashes for each shard of a mark; the windows of one range are merged at once.
+RANGES = 16
 #: The least numbers of one byte to eight.
 BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 FOUND = (
@@ -190,7 +192,7 @@ class Shard:
             digests = b"".join([xxhash.xxh3_128_digest(data[p : p + self.length]) for p in places.tolist()])
             w1, w2 = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
             yield _found(
-                len(k), d1=d1[k], d2=d2[k], mark=marks[k], part=_ranges(w1, parts[k]), w1=longs(w1), w2=longs(w2), at=places - first[k], shard=part[k]
+                len(k), d1=d1[k], d2=d2[k], mark=marks[k], part=_ranges(w1, RANGES * parts[k]), w1=longs(w1), w2=longs(w2), at=places - first[k], shard=part[k]
             )
 
 
@@ -202,11 +204,11 @@ def _found(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _ranges(w1: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Of as many equal ranges of 64-bit numbers as there are parts, the one each number is in."""
-    parts, half = parts.astype(np.uint64), np.uint64(32)
-    low = ((w1 & np.uint64(2**32 - 1)) * parts) >> half
-    return (((w1 >> half) * parts + low) >> half).astype(np.int32)
+def _ranges(w1: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of `count` equal ranges of 64-bit numbers, the one each number is in."""
+    count, half = count.astype(np.uint64), np.uint64(32)
+    low = ((w1 & np.uint64(2**32 - 1)) * count) >> half
+    return (((w1 >> half) * count + low) >> half).astype(np.int32)
 
 
 def _signed(x: int) -> int:
@@ -374,7 +376,8 @@ def remove_repeated_bytes(
         .sortWithinPartitions("mark", "part")
     )
     found = store.save(dealt.mapInArrow(_sort_shards(length, shard_bytes), FOUND), "found")
-    across = found.filter("runs IS NULL").groupBy("mark", "part").applyInArrow(_merge, "d1 long, d2 long, at int")
+    windows = found.filter("runs IS NULL").select("mark", "part", "d1", "d2", "w1", "w2", "at", "shard")
+    across = windows.groupBy("mark", "part").applyInArrow(_merge, "d1 long, d2 long, at int")
     runs = found.filter("runs IS NOT NULL").select("d1", "d2", "runs").unionByName(
         across.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
     )
