@@ -1,27 +1,28 @@
 """Classical text classifier: TF-IDF of token 1- to 3-grams into a balanced forest.
 
-The vocabulary is chosen before any tree grows: of the most frequent terms, those whose presence
-depends most on the class by the chi-squared statistic. Counting and choosing are two aggregates
-over the terms; only the chosen ones reach the driver. The forest then sees features that tell
-classes apart, so 300 trees need a fraction of the splits over 50,000 mostly idle ones.
+The forest sees all of the most frequent terms (`vocabulary`, `forest`). `choose_terms` names those of
+them whose presence depends most on the class by the chi-squared statistic, for reports.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import let, tokens_ml
-from vulnspark.operators.arrow import pieces
+from vulnspark.operators import forest
+from vulnspark.operators.arrow import VECTOR, append_column, list_array, pieces
+from vulnspark.operators.vocabulary import Vocabulary, frequent_terms
+from vulnspark.session import materialize_alone, work_folder
 from vulnspark.taxonomy import NUM_LABELS
 
 SIZES = (1, 2, 3)
@@ -41,6 +42,11 @@ def term_array(code: Column) -> Column:
     return let(tokens_ml(code), lambda t: F.concat(t, *[runs(t, k) for k in SIZES[1:]]))
 
 
+def joined_tokens(code: Column) -> Column:
+    """A text's tokens joined by spaces, of which no token holds one."""
+    return F.coalesce(F.array_join(tokens_ml(code), " "), F.lit(""))
+
+
 def with_terms(records: DataFrame, code: str = "code") -> DataFrame:
     return records.withColumn("terms", term_array(F.col(code)))
 
@@ -51,15 +57,6 @@ def checked_label(label: str) -> Column:
     return F.when(known, F.col(label)).otherwise(F.raise_error(F.lit("unknown class id"))).cast("int")
 
 
-def balanced_weights(records: DataFrame, label: str) -> DataFrame:
-    """Adds `weight` = rows / (classes x rows of the class); at most seven rows are broadcast."""
-    counts = records.groupBy(checked_label(label).alias(label)).agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes")).first()
-    factor = totals["_rows"] / totals["_classes"]
-    weights = counts.select(label, (F.lit(factor) / F.col("_n")).alias("weight"))
-    return records.join(F.broadcast(weights), label)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_class, terms) of records to the counts of each term of a piece."""
     names = ["term", "tf", "df", *(f"c{c}" for c in range(NUM_LABELS))]
@@ -136,39 +133,65 @@ def tfidf_weights(records: DataFrame, key: str, label: str, **choice) -> DataFra
     return cells.select(key, F.element_at(F.lit(terms), F.col("at") + 1).alias("term"), "weight")
 
 
+@dataclass
+class Forest:
+    """A fitted classifier: its terms with their inverse document frequencies, and its trees."""
+
+    terms: list[str]
+    idf: np.ndarray
+    trees: forest.Trees
+    weight: np.ndarray
+    n_trees: int
+    max_depth: int
+
+    def shares(self) -> np.ndarray:
+        """Of each node the weighted share of each class."""
+        weighted = self.trees.counts * self.weight
+        return weighted / np.maximum(weighted.sum(1, keepdims=True), 1e-300)
+
+
 def train_forest(
     train: DataFrame,
     label: str = "y_true",
     seed: int = 42,
     trees: int = 300,
     max_features: int = 50_000,
-    selected: int = 2_000,
     min_df: int = 2,
     max_depth: int = 12,
-) -> PipelineModel:
-    """Fit on (code, label). Terms of each size are in one bag."""
-    weighted = balanced_weights(with_terms(train.select("code", label)), label)
-    chosen = choose_terms(weighted, label, max_features, selected, min_df)
-    stages = [
-        *tfidf_stages([r.term for r in chosen.collect()]),
-        RandomForestClassifier(
-            labelCol=label,
-            weightCol="weight",
-            numTrees=trees,
-            maxDepth=max_depth,
-            seed=seed,
-            maxMemoryInMB=1024,
-            predictionCol="prediction",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(weighted.drop("code"))
+) -> Forest:
+    """Fit on (code, label). Terms of each size are in one bag; all `max_features` most frequent ones
+    are features, and classes weigh alike."""
+    folder = work_folder(train.sparkSession)
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        return materialize_alone(df, folder, name)
+
+    texts = save(train.select(checked_label(label).alias("label"), joined_tokens(F.col("code")).alias("joined")), "texts")
+    chosen = frequent_terms(texts, max_features, min_df, save)
+    rows = texts.count()
+    terms, idf = [t for t, _, _ in chosen], np.array([np.log((rows + 1) / (df + 1)) for _, _, df in chosen])
+    known = train.sparkSession.sparkContext.broadcast((Vocabulary(terms), idf))
+    data = save(forest.blocks(texts, known), "blocks")
+    known.unpersist()
+    grown, weight = forest.grow(data, len(terms), trees, max_depth, seed, save)
+    return Forest(terms, idf, grown, weight, trees, max_depth)
+
+
+def predict(model: Forest, records: DataFrame) -> DataFrame:
+    """Adds `y_pred` and `logits` (the forest's votes) to the records."""
+    classes = int(np.flatnonzero(model.weight).max(initial=0)) + 1
+    known = records.sparkSession.sparkContext.broadcast((model.trees, model.shares(), Vocabulary(model.terms), model.idf))
 
+    def start():
+        trees, shares, vocabulary, idf = known.value
 
-def predict(model: PipelineModel, records: DataFrame) -> DataFrame:
-    """Adds `y_pred` and `logits` (the forest's votes) to the records."""
-    scored = model.transform(with_terms(records))
-    return scored.select(
-        *records.columns,
-        F.col("prediction").cast("int").alias("y_pred"),
-        vector_to_array("rawPrediction").alias("logits"),
-    )
+        def step(batch: pa.RecordBatch) -> pa.Array:
+            votes = forest.votes(trees, shares, model_trees, model_depth, batch.column("_joined"), vocabulary, idf)[:, :classes]
+            return list_array(np.full(len(votes), classes), pa.array(votes.ravel()))
+
+        return step
+
+    model_trees, model_depth = model.n_trees, model.max_depth
+    scored = append_column(records.withColumn("_joined", joined_tokens(F.col("code"))), "logits", VECTOR, start)
+    first = F.array_position("logits", F.array_max("logits")) - 1
+    return scored.select(*records.columns, first.cast("int").alias("y_pred"), "logits")
