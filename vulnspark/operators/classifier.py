@@ -1,7 +1,8 @@
 """Classical text classifier: TF-IDF of token 1- to 3-grams into a balanced forest.
 
 The forest sees all of the most frequent terms (`vocabulary`, `forest`). `choose_terms` names those of
-them whose presence depends most on the class by the chi-squared statistic, for reports.
+them whose presence depends most on the class by the chi-squared statistic; `train_selected_forest` sees
+only these.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -57,6 +59,15 @@ def checked_label(label: str) -> Column:
     return F.when(known, F.col(label)).otherwise(F.raise_error(F.lit("unknown class id"))).cast("int")
 
 
+def balanced_weights(records: DataFrame, label: str) -> DataFrame:
+    """Adds `weight` = rows / (classes x rows of the class); at most seven rows are broadcast."""
+    counts = records.groupBy(checked_label(label).alias(label)).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_classes")).first()
+    factor = totals["_rows"] / totals["_classes"]
+    weights = counts.select(label, (F.lit(factor) / F.col("_n")).alias("weight"))
+    return records.join(F.broadcast(weights), label)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_class, terms) of records to the counts of each term of a piece."""
     names = ["term", "tf", "df", *(f"c{c}" for c in range(NUM_LABELS))]
@@ -177,8 +188,43 @@ def train_forest(
     return Forest(terms, idf, grown, weight, trees, max_depth)
 
 
-def predict(model: Forest, records: DataFrame) -> DataFrame:
+def train_selected_forest(
+    train: DataFrame,
+    label: str = "y_true",
+    seed: int = 42,
+    trees: int = 300,
+    max_features: int = 50_000,
+    selected: int = 2_000,
+    min_df: int = 2,
+    max_depth: int = 12,
+) -> PipelineModel:
+    """`train_forest` by Spark ML over the `selected` terms that depend most on the class."""
+    weighted = balanced_weights(with_terms(train.select("code", label)), label)
+    chosen = choose_terms(weighted, label, max_features, selected, min_df)
+    stages = [
+        *tfidf_stages([r.term for r in chosen.collect()]),
+        RandomForestClassifier(
+            labelCol=label,
+            weightCol="weight",
+            numTrees=trees,
+            maxDepth=max_depth,
+            seed=seed,
+            maxMemoryInMB=1024,
+            predictionCol="prediction",
+        ),
+    ]
+    return Pipeline(stages=stages).fit(weighted.drop("code"))
+
+
+def predict(model: Forest | PipelineModel, records: DataFrame) -> DataFrame:
     """Adds `y_pred` and `logits` (the forest's votes) to the records."""
+    if isinstance(model, PipelineModel):
+        scored = model.transform(with_terms(records))
+        return scored.select(
+            *records.columns,
+            F.col("prediction").cast("int").alias("y_pred"),
+            vector_to_array("rawPrediction").alias("logits"),
+        )
     classes = int(np.flatnonzero(model.weight).max(initial=0)) + 1
     known = records.sparkSession.sparkContext.broadcast((model.trees, model.shares(), Vocabulary(model.terms), model.idf))
 
